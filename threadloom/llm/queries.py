@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, exact_dedup, line_dedup, sharding
+from threadloom.llm import bpe, decontaminate, exact_dedup, line_dedup, sharding, toxicity
 from threadloom.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,13 @@ def query(f):
     return f
 
 
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,6 +84,16 @@ FROM folded f LEFT JOIN covered ON f.id = covered.doc_id LEFT JOIN named ON f.id
 """
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.filter(toxicity.remainder(F.col("doc_id"), 4) != 2))
+    slim = docs.withColumn("held_out", toxicity.remainder(F.col("doc_id"), 4) == 2)
+    out = toxicity.score(slim, model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
