@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, exact_dedup, line_dedup, sharding, toxicity
+from threadloom.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding, toxicity
 from threadloom.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,12 @@ def query(f):
     return f
 
 
+@query
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
