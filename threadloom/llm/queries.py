@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, exact_dedup, line_dedup, near_dedup, sharding, toxicity
+from threadloom.llm import bpe, brown, decontaminate, exact_dedup, line_dedup, near_dedup, sharding, toxicity
 from threadloom.llm.common import table
 
 QUERIES = {}
@@ -23,6 +23,15 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda doc_id: toxicity.remainder(doc_id, 5) == 1
+    model = brown.fit(docs.filter(~held_out(F.col("doc_id"))))
+    out = brown.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))

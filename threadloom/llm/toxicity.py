@@ -180,12 +180,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     An input column named score is replaced, all others stay; an empty table gives none.
     """
-    given = docs.sparkSession.sparkContext.broadcast(model)  # ENTRIES stems and as many exceptions at most
     kept = docs.drop("score")
     at = kept.columns.index(text_col)
 
     def run(batches):
-        f = given.value.score
+        f = model.score  # travels with the function: ENTRIES stems and as many exceptions at most
         for batch in batches:
             scores = pa.array([f(t or "") for t in batch.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
