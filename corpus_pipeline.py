@@ -1,8 +1,61 @@
-"""The training-corpus pipeline: a list of stages over the documents table."""
+"""The training-corpus pipeline over the documents table.
 
+STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir), works on all that its
+predecessor kept and returns a DataFrame; run() writes it as Parquet in the shared folder and rereads it
+for the next. All stages but the last return the columns of documents (n_chars follows the text).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
+from threadloom.llm.common import materialise, table
+
+#: Learned stages and token ids have no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score THRESHOLD or more under a model of all labelled rows that docs has."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that ten documents share; a document that loses all its lines stays, with an empty text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at 0.8 make: the one with the least id."""
+    return near_dedup.near_dedup(docs).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold ten words running of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids of the texts that are left."""
+    return bpe.encode(docs).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline_{name}")
+    return docs
