@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
             longer = [x for x in counts if x.startswith(s) and counts[x] >= 0.98 * counts[s]]
             stems[max(longer, key=len)] = r.w
     plain = F.lit(False)
-    for s in stems:
-        plain = plain | F.col("s").startswith(s)
+    for k in sorted({len(s) for s in stems}):  # one test per length, not one per stem
+        plain = plain | F.substring("s", 1, k).isin([s for s in stems if len(s) == k])
     spared = counted.filter(plain & ~F.col("s").endswith("*") & (F.col("neg") >= 2) & (weight < 0)).orderBy(F.desc("neg"), "s").limit(ENTRIES).collect()
     model = Model(stems, [*exceptions, *(r.s for r in spared)], (0.0, 0.0, 0.0))
 
