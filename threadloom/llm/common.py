@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.spark import materialise  # noqa: F401  (the operators take it from here)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space that the line and word contracts name: [\x20\x09-\x0D].
@@ -18,29 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    own = getattr(spark, "_threadloom_scratch", None)
-    if own is None:
-        own = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
-        spark._threadloom_scratch = own
-    return own
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and what is derived from
-    text is computed once. Rows and columns are unchanged.
-    """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold_ascii(c: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the quick path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
@@ -55,7 +31,3 @@ def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also where body uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
-
-def fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with the named output columns; input columns of these names are replaced."""
-    return df.withColumns(columns)
