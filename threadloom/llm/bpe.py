@@ -27,7 +27,7 @@ CUT_ONE_IN = 128
 #: Bytes of shared chunk text that are encoded for all tasks at once, and the rows that are looked at to fill them.
 HOT_BYTES, HOT_CHUNKS = 8_000_000, 16_384
 #: Encodings that a worker remembers: words, chunks and joins. Older ones are forgotten.
-WORDS, CHUNKS, JOINS = 250_000, 8_000, 100_000
+WORDS, CHUNKS, JOINS = 200_000, 4_000, 50_000
 
 
 def default_tokenizer() -> str:
@@ -103,6 +103,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.hot, self.words, self.chunks, self.joins = hot, Memory(WORDS), Memory(CHUNKS), Memory(JOINS)
+        self.names = None
 
     def raw(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian uint32, straight from the library."""
@@ -113,6 +114,16 @@ class Encoder:
         new = [w for w in words if not self.words.knows(w)]
         self.words.update(zip(new, self.raw(new), strict=True))
 
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """UTF-8 of what the library decodes; without a decoder it puts a space between tokens."""
+        lists = [np.frombuffer(x, "<u4").tolist() for x in ids]
+        if self.tokenizer.decoder is not None:
+            return [x.encode() for x in self.tokenizer.decode_batch(lists, skip_special_tokens=False)]
+        if self.names is None:
+            self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        name = self.names.__getitem__
+        return [b" ".join(map(name, x)) for x in lists]
+
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids of each text, given as its chunks."""
         import xxhash
@@ -201,16 +212,20 @@ def _hot(docs: DataFrame, path: str, text_col: str) -> dict[bytes, bytes]:
     return {bytes(r.k): bytes(r.ids) for r in once.mapInArrow(encode, "k binary, ids binary").collect()}
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", decoded: bool = False, drop_text: bool = False) -> DataFrame:
     """docs with ids, array<int>: the whole text as the tokenizers library encodes it without special tokens added.
 
-    Null and empty texts have no ids. A special token's string within a text is that token, as in the
-    library. An input column named ids is replaced, all others stay; an empty table gives none.
+    With decoded also decoded: what the library decodes from the ids. drop_text leaves the text column out,
+    which spares its way back. Null and empty texts have no ids. A special token's string within a text is
+    that token, as in the library. Input columns named as results are replaced, all others stay; an empty
+    table gives none.
     """
     path = path or default_tokenizer()
     given = docs.sparkSession.sparkContext.broadcast(_hot(docs, path, text_col))
-    kept = docs.drop("ids")
-    at = kept.columns.index(text_col)
+    results = ["ids", "decoded"] if decoded else ["ids"]
+    source = docs.drop(*results)
+    at = source.columns.index(text_col)
+    stay = [i for i, c in enumerate(source.columns) if not (drop_text and i == at)]
 
     def run(batches):
         encoder = Encoder(path, given.value)
@@ -219,10 +234,13 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") ->
                 part = batch.slice(lo, 512)
                 found = encoder.encode(list(chunks(part.column(at))))
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))]
+                if decoded:
+                    made.append(pa.array(encoder.decode(found), pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *made], names=[*(part.schema.names[i] for i in stay), *results])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return source.mapInArrow(run, T.StructType([*(source.schema.fields[i] for i in stay), *fields[: len(results)]]))
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:

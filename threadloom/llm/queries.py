@@ -41,7 +41,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True, drop_text=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
