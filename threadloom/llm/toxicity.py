@@ -32,6 +32,10 @@ HOMOGLYPHS = dict(zip("авеёзіїјкмнорсстухѕԁһӏԛԝαβει
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 
 
+#: Taken off the ends of words before signs are read as letters.
+SIGNS = "!|@$.,;:?\"')]}"
+
+
 def _table() -> dict[int, str]:
     table = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()}
     table |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: SUBSTITUTES.get(str(i), str(i)) for i in range(10)}
@@ -46,7 +50,7 @@ TABLE = _table()
 def fold(text: str) -> str:
     """Words of the folded text, each between single spaces. A sign at the end of a word is punctuation, not a letter."""
     words = text.lower().split()
-    return f" {' '.join(' '.join(w.rstrip('!|@$') for w in words).translate(TABLE).split())} "
+    return f" {' '.join(' '.join(w.rstrip(SIGNS) for w in words).translate(TABLE).split())} "
 
 
 @dataclass
