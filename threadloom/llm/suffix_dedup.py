@@ -31,8 +31,6 @@ from threadloom.llm.shingles import blocks
 LENGTH = 400
 #: Blocks of one name that a task holds at once: about 0.6 KB each, and 20 KB more while they are compared.
 HOT = 2048
-#: Lists by row are broadcast up to this many bytes, and shuffled beyond it.
-BROADCAST_BYTES = 64_000_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,8 +106,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     names = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     wanted = materialise(kinds.join(names, "h").select("h", "n", "digest", "copies", "near", "far", "at.row", "at.pos"), "wanted")
     listed = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "n", "digest", "copies", "near", "far", "pos")).alias("bs"))
-    if wanted.count() * 100 <= BROADCAST_BYTES:
-        listed = F.broadcast(listed)
 
     def fetch(batches):
         names = ["h", "n", "digest", "copies", "near", "far", "lead", "suffix"]
@@ -200,8 +196,6 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     a character. Input columns with these names are replaced, all others stay; an empty table gives none.
     """
     spans = materialise(repeats(docs, length, id_col, text_col), "spans").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    if (spans.agg(F.sum(F.size("__spans") * 16 + 80)).first()[0] or 0) <= BROADCAST_BYTES:
-        spans = F.broadcast(spans)
     out = docs.drop("n_bytes", "spans", "kept").withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
     out = out.join(spans, F.col("__key") == F.col("__row"), "left").drop("__key", "__row")
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
