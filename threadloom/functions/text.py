@@ -21,8 +21,13 @@ def tokens(text: Column) -> Column:
 
 def shingles(items: Column, n: int) -> Column:
     """n-grams joined by a space; one of all items if there are fewer; none of none."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), " "))
-    return F.when(F.size(items) == 0, F.array().cast("array<string>")).when(F.size(items) < n, F.array(F.array_join(items, " "))).otherwise(grams)
+
+    def grams(a: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(a) - n + 1), lambda i: F.array_join(F.slice(a, i, n), " "))
+        return F.when(F.size(a) == 0, F.array().cast("array<string>")).when(F.size(a) < n, F.array(F.array_join(a, " "))).otherwise(each)
+
+    # a lambda over a one-element array evaluates items once, not for every gram
+    return F.get(F.transform(F.array(items), grams), F.lit(0))
 
 
 def normalize_title(title: Column) -> Column:

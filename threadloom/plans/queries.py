@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.config import RELATION_FEATURES
+from threadloom.functions import ioc
 from threadloom.functions import pages as P
 from threadloom.functions import text as X
 from threadloom.operators import catalog, correlation, graph, history, store
 from threadloom.sources import driver
+from threadloom.streaming import events
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -374,3 +376,28 @@ def case_numbers(spark: SparkSession, d: str) -> DataFrame:
 def scope_members(spark: SparkSession, d: str) -> DataFrame:
     bad = driver.read(spark, d, "labels").filter("quality = 0").select("doc_id")
     return driver.read(spark, d, "documents").join(bad, "doc_id", "left_anti").select("doc_id", ((F.col("doc_id") % 3 == 0) & (F.char_length("text") > 0)).alias("member"))
+
+
+@query("""SELECT page_id, 'url' AS type, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages""", domain=False)
+def parse_indicators(spark: SparkSession, d: str) -> DataFrame:
+    found = driver.read(spark, d, "pages").select("page_id", ioc.parse_ioc(X.refang(F.col("url"))).alias("ioc"))
+    return found.select("page_id", "ioc.type", "ioc.host")
+
+
+@query("SELECT provider, day, count(*) AS calls, count(*) FILTER (NOT ok) AS errors FROM runs GROUP BY provider, day")
+def daily_usage(spark: SparkSession, d: str) -> DataFrame:
+    e = driver.read(spark, d, "events").select("ts", F.col("event_type").alias("provider"), (F.col("event_type") != "error").alias("ok"))
+    return events.daily(e)
+
+
+def page_structures(spark: SparkSession, d: str) -> DataFrame:
+    """SimHash, forms and addresses have no SQL; tests hold them against small pages."""
+    return driver.read(spark, d, "pages").select("page_id", ioc.page_structure("html").alias("p")).select("page_id", "p.structure", F.size("p.forms").alias("n_forms"))
+
+
+def text_simhashes(spark: SparkSession, d: str) -> DataFrame:
+    words = X.shingles(X.tokens(P.visible_text(F.col("html"))), 3)
+    return driver.read(spark, d, "pages").select("page_id", F.explode(F.array(words)).alias("w")).select("page_id", ioc.simhash("w").alias("simhash"))
+
+
+QUERIES |= {"page_structures": page_structures, "text_simhashes": text_simhashes}
