@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, brown, decontaminate, exact_dedup, line_dedup, near_dedup, sharding, suffix_dedup, toxicity
+from threadloom.llm import bpe, brown, chat, decontaminate, exact_dedup, line_dedup, near_dedup, sharding, suffix_dedup, toxicity
 from threadloom.llm.common import table
 
 QUERIES = {}
@@ -23,6 +23,28 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE role END AS speaker, coalesce(text, '') AS text FROM conversations
+), people AS (SELECT DISTINCT conv_id AS of_conv, speaker AS participant FROM said WHERE speaker <> 'system'), each AS (
+  SELECT conv_id, participant, turn, speaker, text, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user' END AS role
+  FROM said JOIN people ON conv_id IS NOT DISTINCT FROM of_conv
+), headed AS (
+  SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) AS head FROM each
+), placed AS (
+  SELECT *, head || text || chr(10) || '<|end|>' || chr(10) AS piece,
+         coalesce(sum(length(head || text || chr(10) || '<|end|>' || chr(10))) OVER (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM headed
+)
+SELECT conv_id, participant, turn, speaker, role, name, piece, role = 'assistant' AS train, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS stop FROM placed
+"""
+
+
 @query
 def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
