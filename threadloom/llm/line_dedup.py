@@ -33,6 +33,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     keys = F.transform(_lines(F.col(text_col)), lambda line: let(line_key(line), short))
     hashed = materialise(docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), keys.alias("hs")), "line_keys")
     common = hashed.select(F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).groupBy("h").count().filter(F.col("count") >= min_docs).select("h")
+    common = materialise(common, "common_lines")  # so the join can split the rows of a hot key
     at = hashed.select("row", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h")).filter(F.col("h").isNotNull())
     gone = at.join(common, "h").groupBy("row").agg(F.max("n").alias("n"), F.collect_set("pos").alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "gone")
