@@ -5,10 +5,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from threadloom.llm import bpe, brown, near_dedup, suffix_dedup, toxicity
+from threadloom.llm.shingles import shingle_sets
 from threadloom.operators.components import components
 
 
@@ -45,6 +47,20 @@ def test_near_groups(docs, documents, none, k, percent):
     assert near_dedup.near_groups(none, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("n", range(1, 7))
+def test_shingles_of_a_run_with_few_words(n):
+    """A text that is hashed alone has the set that it has beside a long one."""
+    short, long = " ".join("abcdef"[:n]), " ".join(map(str, range(50)))
+    (alone,) = shingle_sets(pa.array([short]), 5)
+    beside, _ = shingle_sets(pa.array([short, long]), 5)
+    assert len(alone) == max(1, n - 4) and alone.tolist() == beside.tolist()
+
+
+def test_near_dedup_of_a_short_text_alone(spark):
+    docs = spark.createDataFrame([(1, "two words", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dedup.near_dedup(docs).count() == 1
+
+
 def test_links_across_one_bucket(spark):
     """A chain whose ends are not similar is one component, also where no pair with the least member is a link."""
     words = [f"w{i}" for i in range(300)]

@@ -68,7 +68,8 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         h, at = word_hashes(data, bounds)
         runs = h.copy()
         for i in range(1, k):
-            runs[: len(h) - i] = runs[: len(h) - i] * base + h[i:]
+            n = max(len(h) - i, 0)
+            runs[:n] = runs[:n] * base + h[i:]
         runs = mix(runs)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= k:
