@@ -181,6 +181,19 @@ def test_bpe_repairs_joins():
     assert encoder.encode(texts) == want
 
 
+def test_bpe_joins_after_a_long_word():
+    """The word left of a join is whole, however long it is and whatever white space follows."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_tokenizer())
+    for word in ("\u8a9e" * 100 + "x", "\u8a9e" * 400, "y" * 600):
+        encoder = bpe.Encoder(bpe.default_tokenizer(), {})
+        chunks = [f"before {word} ", "\n after"]
+        (got,) = encoder.encode([[c.encode() for c in chunks]])
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode("".join(chunks), add_special_tokens=False).ids
+        assert (word.encode(), b"after") in encoder.joins
+
+
 def test_toxicity(spark):
     rng = random.Random(11)
     plain = [f"word{i}".translate(str.maketrans("0123456789", "qwertyuiop")) for i in range(300)]

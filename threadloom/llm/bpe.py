@@ -143,8 +143,8 @@ class Encoder:
 
     def mend(self, texts: list[list[bytes]], parts: list[list[bytes]]) -> None:
         """Check each join of two chunks on the words beside it, and repair parts where they disagree."""
-        sides = lambda a, b: ((a.split()[-1:] or [b""])[0], (b.split(None, 1)[:1] or [b""])[0])
-        joins = [(i, j, sides(text[j][-256:] if b" " in text[j][-256:] else text[j], text[j + 1])) for i, text in enumerate(texts) for j in range(len(text) - 1)]
+        sides = lambda a, b: ((a.rsplit(None, 1)[-1:] or [b""])[0], (b.split(None, 1)[:1] or [b""])[0])
+        joins = [(i, j, sides(text[j], text[j + 1])) for i, text in enumerate(texts) for j in range(len(text) - 1)]
         new = list({s for _, _, s in joins if not self.joins.knows(s)})
         self.learn({w for s in new for w in s})
         together = self.raw([b" ".join(s) for s in new])
