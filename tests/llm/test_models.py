@@ -110,6 +110,38 @@ def test_language_model(docs, documents, none):
     assert len(blank) == len(documents) and all(r.n_known == 0 for r in blank)
 
 
+def test_language_model_clusters_every_word_seen_often(spark):
+    """1,600 words of one ending, half of which only ever follow the other half, come to classes that the halves do not share."""
+    rng = random.Random(3)
+    firsts, seconds = ([f"{x}{i}zzz".encode() for i in range(800)] for x in "xy")
+    texts = []
+    for _ in range(12):
+        rng.shuffle(firsts)
+        rng.shuffle(seconds)
+        texts += [b" ".join(w for pair in zip(firsts[i : i + 20], seconds[i : i + 20]) for w in pair).decode() for i in range(0, 800, 20)]
+    model = brown.fit(spark.createDataFrame([(t,) for t in [*texts, "seldom seen"]], "text string").repartition(3), classes=6)
+    assert len(model.words) == 1601  # and the end
+    units = brown.Units(model.words, model.endings)
+    one, two = (Counter(model.classes[units.of(ws)].tolist()) for ws in (firsts, seconds))
+    assert len(set(units.of(firsts + seconds))) == 1600 and not set(one) & set(two)
+    assert min(units.of([b"seldom", b"seen"])) >= 1601
+
+
+def test_neighbours_against_brute_force(spark, docs, documents):
+    words, want = brown.hashes([brown.END, b"na", b"the", b"one"]), Counter()
+    units = brown.Units(words, [b"ine"])
+    rows = [[0, *units.of(brown.tokens(t))] for _, t, *_ in documents]
+    for row in rows:
+        for u, v in zip(row, row[1:]):
+            want[u, v] += 1
+            want[v, ~u] += 1
+    got = Counter()
+    for r in brown.neighbours(docs.select("text"), words, [b"ine"]).collect():
+        got.update({(r.unit, o): n for o, n in zip(r.other, r.n)})
+    assert got == want
+    assert brown.neighbours(docs.select("text"), words, [b"ine"]).select("unit").distinct().count() == len({u for u, _ in want})
+
+
 def spans_wanted(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []

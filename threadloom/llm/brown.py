@@ -1,15 +1,17 @@
 """LM scoring with a Brown class-based bigram model.
 
-Every token is a unit: one of the UNITS most frequent words by itself, any other by its last three bytes,
-if that ending is among the ENDINGS most frequent, or else the one remaining unit. Bigrams of units are
-counted over the whole training text, and exchange clustering moves each unit to the class under which
-these counts are likeliest, all units of one half in a round. Then
+Every token is a unit: each word that training has LEAST times or more by itself, any other by its last
+three bytes, if that ending is among the ENDINGS most frequent, or else the one remaining unit. Bigrams of
+units are counted over the whole training text, and exchange clustering moves each unit to the class under
+which these counts are likeliest, all units of one half in a round, until neither half moves or ROUNDS end. Then
 P(word | previous) = P(class | previous class) * P(word | class), the first by counts of class bigrams that
 shrink to the class's share, the second by (c + 0.5) / (N + 0.5 * (V + 1)) within the class, so unknown
 words have a share of every class.
 
-Counts of all words stay in a table. The HEAD most frequent go to every task; of the others, which are
-counted over all data as well, the words of each document meet their counts in a join.
+Units are told by 64-bit hashes of their words, so a task holds nine bytes for each, its class with it; the
+neighbours of each unit stay in a table. Counts of all words stay in a table. The HEAD most frequent go to
+every task; of the others, which are counted over all data as well, the words of each document meet their
+counts in a join.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialise, row_key
 
-UNITS, ENDINGS, CLASSES, ROUNDS = 1000, 500, 48, 7
+ENDINGS, CLASSES, ROUNDS = 500, 48, 10
+#: A word that training has so often is a unit by itself.
+LEAST = 5
 #: Words whose counts are sent to every task: at most so many rows of a word and a number.
 HEAD = 150_000
 #: Weight of the class's share against its class bigrams, in tokens.
@@ -37,31 +41,41 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def hashes(words: list[bytes]) -> np.ndarray:
+    """As Spark's xxhash64."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+
+
 class Units:
-    """Maps tokens to units and remembers a bounded number of them."""
+    """Maps tokens to units, of which words gives the hashes, the end's first, and remembers a bounded number of them."""
 
-    def __init__(self, words: list[bytes], endings: list[bytes]):
-        self.fixed = {w: i for i, w in enumerate(words)}
+    def __init__(self, words: np.ndarray, endings: list[bytes]):
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
         self.endings = {e: i + len(words) for i, e in enumerate(endings)}
         self.size = len(words) + len(endings) + 1
-        self.memo: dict[bytes, int] = dict(self.fixed)
+        self.memo: dict[bytes, int] = {END: 0}
 
     def of(self, words: list[bytes]) -> list[int]:
         known = self.memo
-        out = [known.get(w, -1) for w in words]
-        if -1 in out:
-            if len(known) > 400_000:
-                self.memo = known = dict(self.fixed)
-            for i, u in enumerate(out):
-                if u < 0:
-                    w = words[i]
-                    out[i] = known[w] = self.fixed.get(w, self.endings.get(w[-3:], self.size - 1))
-        return out
+        new = [w for w in set(words) if w not in known]
+        if new:
+            if len(known) > 200_000:
+                self.memo = known = {END: 0}
+                new = list(set(words) - {END})
+            h = hashes(new)
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            found = np.where(self.sorted[at] == h, self.order[at], -1).tolist()
+            for w, u in zip(new, found, strict=True):
+                known[w] = u if u >= 0 else self.endings.get(w[-3:], self.size - 1)
+        return [known[w] for w in words]
 
 
 @dataclass
 class Model:
-    words: list[bytes]
+    words: np.ndarray  # hashes, by unit
     endings: list[bytes]
     classes: np.ndarray  # by unit
     transitions: np.ndarray  # log10, previous class by class
@@ -88,71 +102,127 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def unit_bigrams(train: DataFrame, words: list[bytes], endings: list[bytes]) -> DataFrame:
-    """u, v, n: how often unit v follows unit u; a text's first token follows an end."""
+def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> DataFrame:
+    """unit, other, n: of each unit how often each v follows it, as v, and how often each u precedes it, as ~u. A text's first token follows an end."""
     given = train.sparkSession.sparkContext.broadcast((words, endings))
 
-    def run(batches):
+    def pairs(batches):
         units = Units(*given.value)
-        end = units.fixed[END]
-        total = np.zeros(units.size * units.size, np.int64)
+
+        def counted(rows):
+            u = np.array(rows, np.int64)
+            key, n = np.unique(u[:-1] * units.size + u[1:], return_counts=True)
+            u, v = key // units.size, key % units.size
+            back = np.argsort(v, kind="stable")
+            for unit, other, k in ((u, v, n), (v[back], ~u[back], n[back])):
+                for lo in range(0, len(unit), 100_000):
+                    yield pa.RecordBatch.from_pydict({"unit": pa.array(unit[lo : lo + 100_000], pa.int32()), "other": pa.array(other[lo : lo + 100_000], pa.int32()), "n": pa.array(k[lo : lo + 100_000], pa.int64())})
+
+        rows = [0]
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                row = [end]
-                for t in batch.column(0).slice(lo, 256).to_pylist():
-                    row += units.of(tokens(t))
-                u = np.array(row, np.int64)
-                np.add(total, np.bincount(u[:-1] * units.size + u[1:], minlength=len(total)), out=total)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 200_000):
-            part = at[lo : lo + 200_000]
-            yield pa.RecordBatch.from_pydict({"u": pa.array(part // units.size, pa.int32()), "v": pa.array(part % units.size, pa.int32()), "n": pa.array(total[part], pa.int64())})
+                rows += units.of([w for t in batch.column(0).slice(lo, 256).to_pylist() for w in tokens(t)])
+                if len(rows) > 1_000_000:
+                    yield from counted(rows)
+                    rows = [0]
+        yield from counted(rows)
+
+    def gather(batches):
+        def made(unit, other, n):
+            key, at = np.unique((unit << 32) + (other + (1 << 31)), return_inverse=True)
+            n = np.bincount(at, n).astype(np.int64)
+            unit, other = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+            own, first = np.unique(unit, return_index=True)
+            ends = pa.array([*first, len(unit)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(other, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names=["unit", "other", "n"])
+
+        kept: list[list[np.ndarray]] = []  # of the unit that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
+            cut = int(np.searchsorted(part[0], part[0][-1]))
+            if kept and (cut or kept[0][0][0] != part[0][0]):
+                yield made(*(np.concatenate(x) for x in zip(*kept, [x[:cut] for x in part], strict=True)))
+                kept = []
+            elif cut:
+                yield made(*(x[:cut] for x in part))
+            kept.append([x[cut:] for x in part])
+        if kept:
+            yield made(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+
+    found = train.mapInArrow(pairs, "unit int, other int, n long").repartition("unit").sortWithinPartitions("unit")
+    return found.mapInArrow(gather, "unit int, other array<int>, n array<long>")
+
+
+def _profiles(batch: pa.RecordBatch, of: np.ndarray, classes: int, rows: int):
+    """Of so many units at a time: unit, and by class how often it follows and how often it precedes."""
+    for lo in range(0, batch.num_rows, rows):
+        part = batch.slice(lo, rows)
+        bounds = part.column(1).offsets.to_numpy().astype(np.int64)
+        other, n = (part.column(i).flatten().to_numpy() for i in (1, 2))
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        key = (row * 2 + (other < 0)) * classes + of[np.where(other < 0, ~other, other)]
+        both = np.bincount(key, n, (len(bounds) - 1) * 2 * classes).reshape(-1, 2, classes)
+        yield part.column(0).to_numpy(), both[:, 0], both[:, 1]
+
+
+def class_bigrams(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    given = near.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        total = np.zeros((classes, classes))
+        for batch in batches:
+            for unit, after, _ in _profiles(batch, given.value, classes, 4096):
+                np.add.at(total, given.value[unit], after)
+        u, v = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int32()), "v": pa.array(v, pa.int32()), "n": pa.array(total[u, v].astype(np.int64))})
+
+    table = np.zeros((classes, classes))
+    for x in near.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+        table[x.u, x.v] = x.n
+    return table
 
-    return train.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
+def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The likeliest class of each unit by the class bigrams without it; own, after and before have a row per unit."""
+    i, (n, classes) = np.arange(len(own)), after.shape
+    t = np.broadcast_to(table, (n, classes, classes)).copy()
+    t[i, own] -= after
+    t[i, :, own] -= before
+    t = np.maximum(t, 0) + 0.5
+    out = after.sum(1, keepdims=True) * np.log(t.sum(2)) + before.sum(1, keepdims=True) * np.log(t.sum(1))
+    t = np.log(t)
+    return ((t @ after[:, :, None])[..., 0] + (before[:, None] @ t)[:, 0] - out).argmax(1)
 
-def exchange(bigrams: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit. bigrams(u, v, n) has units below size, which UNITS and ENDINGS bound.
 
-    Each round sums every unit's bigrams by the class on the other side, and a task that holds a block of
-    units moves each to its best class, with the other units where they were. One half moves at a time.
+def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+    """The class of each unit. near(unit, other, n) is of neighbours(), with units below size; the driver holds two bytes a unit.
+
+    Each round sums every unit's bigrams by the class on the other side and moves each to its best class, with
+    the other units where they were. One half moves at a time; when neither has moved, the rounds end.
     """
-    spark = bigrams.sparkSession
-    of = np.minimum(np.arange(size), classes - 1)  # the most frequent units begin with a class of their own
-    sides = bigrams.select(F.col("u").alias("unit"), F.col("v").alias("other"), F.lit(0).alias("side"), "n").unionByName(bigrams.select(F.col("v").alias("unit"), F.col("u").alias("other"), F.lit(1).alias("side"), "n"))
+    of = np.minimum(np.arange(size), classes - 1).astype(np.uint8 if classes <= 256 else np.int32)  # the most frequent units begin with a class of their own
+    still = 0
     for r in range(rounds):
-        known = F.array(*(F.lit(int(c)) for c in of))
-        mapped = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "other int, class int")
-        profile = sides.join(F.broadcast(mapped), "other").groupBy("unit", "side", "class").agg(F.sum("n").alias("n"))
-        profile = materialise(profile.groupBy("unit").agg(F.collect_list(F.struct("side", "class", "n")).alias("p")).withColumn("own", F.get(known, F.col("unit"))), "profiles")
-        pairs = profile.select("own", F.explode("p").alias("p")).filter("p.side = 0").groupBy("own", "p.class").agg(F.sum("p.n").alias("n")).collect()  # classes squared at most
-        table = np.zeros((classes, classes))
-        for x in pairs:
-            table[x[0], x[1]] = x[2]
-
-        def move(batches, table=table, r=r):
+        table = class_bigrams(near, of, classes)
+        given = near.sparkSession.sparkContext.broadcast(of)
+
+        def move(batches, table=table, given=given, r=r):
             for batch in batches:
-                new = []
-                for unit, p, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    after, before = np.zeros(classes), np.zeros(classes)
-                    for x in p:
-                        (before if x["side"] else after)[x["class"]] += x["n"]
-                    if (unit * 2654435761 >> 7) % 2 == r % 2 and r > 1 or unit < classes and r == 0:
-                        new.append(own)
-                        continue
-                    t = table.copy()
-                    t[own] -= after
-                    t[:, own] -= before
-                    t = np.maximum(t, 0) + 0.5
-                    gain = np.log(t) @ after + before @ np.log(t) - after.sum() * np.log(t.sum(1)) - before.sum() * np.log(t.sum(0))
-                    new.append(int(gain.argmax()))
-                yield pa.RecordBatch.from_pydict({"unit": batch.column(0), "class": pa.array(new, pa.int32())})
-
-        moved = profile.mapInArrow(move, "unit int, class int").collect()  # a row per unit
-        before = of.copy()
-        for x in moved:
-            of[x.unit] = x["class"]
-        if r > 2 and (of == before).all():
+                for unit, after, before in _profiles(batch, given.value, classes, 128):
+                    unit = unit.astype(np.int64)
+                    turn = unit >= classes if r == 0 else (unit * 2654435761 >> 7) % 2 != r % 2 if r > 1 else unit >= 0
+                    unit, after, before = unit[turn], after[turn], before[turn]
+                    new = best_classes(table, given.value[unit], after, before)
+                    yield pa.RecordBatch.from_pydict({"unit": pa.array(unit, pa.int32()), "class": pa.array(new, pa.int32())})
+
+        moved = near.mapInArrow(move, "unit int, class int").toArrow()  # a row per unit
+        old = of.copy()
+        of[moved["unit"].to_numpy()] = moved["class"].to_numpy()
+        given.destroy()
+        still = still + 1 if (of == old).all() else 0
+        if still == 2:
             break
     return of
 
@@ -171,27 +241,32 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(found["w"].to_pylist(), found["c"].to_pylist(), strict=True))
 
 
-def fit(train: DataFrame, head: int = HEAD, units: int = UNITS, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS, text_col: str = "text") -> Model:
-    """The model of all texts of train; null texts count as empty. Without rows it knows no word and has one class."""
+def fit(train: DataFrame, head: int = HEAD, units: int | None = None, endings: int = ENDINGS, classes: int = CLASSES, rounds: int = ROUNDS, text_col: str = "text") -> Model:
+    """The model of all texts of train; null texts count as empty. Without rows it knows no word and has one class.
+
+    units limits the words that are units by themselves to the most frequent; by default all that occur LEAST times are.
+    """
     train = train.select(F.col(text_col).alias("text"))
     counts = materialise(word_counts(train), "word_counts")
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     if not n:
-        return Model([END], [], np.zeros(2, int), np.zeros((1, 1)), np.log10([0.5]), {}, 0, 0, counts)
+        return Model(hashes([END]), [], np.zeros(2, int), np.zeros((1, 1)), np.log10([0.5]), {}, 0, 0, counts)
     known = _most_frequent(counts, head)
-    words = [END, *(bytes(r.w) for r in counts.filter(F.col("w") != F.lit(END)).orderBy(F.desc("c"), "w").limit(units).collect())]
-    own = train.sparkSession.createDataFrame([(w,) for w in words], "w binary")
-    tails = counts.join(F.broadcast(own), "w", "left_anti").groupBy(F.expr("substring(w, -3, 3)").alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(endings)
+    others = counts.filter(F.col("w") != F.lit(END)).withColumn("h", F.xxhash64("w"))
+    if units is None:
+        frequent, seldom = others.filter(F.col("c") >= LEAST), others.filter(F.col("c") < LEAST)
+    else:
+        frequent = others.orderBy(F.desc("c"), "w").limit(units)
+        seldom = others.join(F.broadcast(frequent.select("w")), "w", "left_anti")
+    top = frequent.select("h", "c").toArrow()  # 16 bytes a word
+    h, c = (top[x].to_numpy() for x in ("h", "c"))
+    h = h[np.lexsort((h, -c))]
+    words = np.concatenate((hashes([END]), h[h != hashes([END])[0]]))
+    tails = seldom.groupBy(F.expr("substring(w, -3, 3)").alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(endings)
     ends = [bytes(r.e) for r in tails.collect()]
-    bigrams = materialise(unit_bigrams(train, words, ends), "unit_bigrams")
-    size = len(words) + len(ends) + 1
-    of = exchange(bigrams, size, classes, rounds)
-
-    mapped = train.sparkSession.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "unit int, class int")
-    one, two = (F.broadcast(mapped.select(F.col("unit").alias(u), F.col("class").alias(c))) for u, c in (("u", "x"), ("v", "y")))
-    table = np.zeros((classes, classes))
-    for r in bigrams.join(one, "u").join(two, "v").groupBy("x", "y").agg(F.sum("n").alias("n")).collect():  # classes squared at most
-        table[r.x, r.y] = r.n
+    near = materialise(neighbours(train, words, ends), "neighbours")
+    of = exchange(near, len(words) + len(ends) + 1, classes, rounds)
+    table = class_bigrams(near, of, classes)
     given = train.sparkSession.sparkContext.broadcast((words, ends, of))
 
     def spread(batches):
@@ -224,7 +299,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         units = Units(words, endings)
         index = {w: i for i, w in enumerate(head)}
         logs = np.log10(np.array([*head.values(), 0.5]) + 0.5)  # the last, of words that are not in the head, is 0
-        end = classes[units.fixed[END]]
+        end = classes[0]
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
