@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.plans import queries
 from threadloom.config import Scoring
 from threadloom.functions import ioc, pages, text
 
@@ -60,6 +61,25 @@ def test_verdict(spark, said, code, words, status, confidence):
     assert (r.status, r.confidence) == (status, confidence)
 
 
+@pytest.mark.parametrize("code,html,error,dns,ns,registry,status,confidence", [
+    (200, "x", None, True, [], ["Client Hold"], "TAKEDOWN", 90), (None, None, None, False, [], [], "INACTIVE", 85),
+    (None, None, "read failed", True, ["ns1.sedoparking.com"], [], "PARKED", 70), (None, None, "Connection refused", True, [], [], "INACTIVE", 70),
+    (None, None, "bad chunk", None, None, None, "ERROR", 60), (200, "/cgi-sys/suspendedpage.cgi", None, True, [], [], "TAKEDOWN", 85),
+    (200, "<img src=//hugedomains.com>", None, True, [], [], "PARKED", 70), (200, "x", None, True, ["a.bodis.com"], [], "PARKED", 70),
+    (403, "account-suspended", None, True, [], [], "TAKEDOWN", 95), (500, "", None, True, [], [], "ERROR", 60), (200, "<p>hello", None, None, None, None, "ACTIVE", 55),
+])
+def test_verdict_beyond_the_text(spark, code, html, error, dns, ns, registry, status, confidence):
+    d = spark.createDataFrame([(code, html, error, dns, ns, registry)], "code int, html string, error string, dns boolean, ns array<string>, registry array<string>")
+    r = pages.verdict(d, F.lit("hello"), F.col("code"), F.lit(1), F.lit(False), *map(F.col, ("html", "error", "dns", "ns", "registry"))).first()
+    assert (r.status, r.confidence) == (status, confidence)
+
+
+def test_verdict_query_reads_the_document(spark, tmp_path):
+    said = [(4, "This domain has been seized"), (9, "Buy this domain now"), (14, "plain"), (5, None)]
+    spark.createDataFrame(said, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.status for r in queries.content_verdict(spark, str(tmp_path)).collect()} == {4: "TAKEDOWN", 9: "PARKED", 14: "ACTIVE", 5: "TAKEDOWN"}
+
+
 def test_scoring_is_validated():
     with pytest.raises(ValueError):
         Scoring({"colour": 1.0})

@@ -53,6 +53,12 @@ INACTIVE = [
     (r"default (?:web )?page", 30), (r"index of /", 20),
 ]
 
+PARKING_NAMESERVERS = r"(?i)sedoparking|parkingcrew|bodis|above\.com|parklogic|dan\.com|afternic|hugedomains|cashparking|domaincontrol\.com\.parked|parking|undeveloped|ztomy|park\."
+MARKUP_TAKEDOWN = r"(?i)cgi-sys/suspendedpage|/suspended\.page|account-suspended"
+MARKUP_PARKING = r"(?i)sedoparking\.com|parkingcrew\.net|bodis\.com|park\.above\.com|afternic\.com|dan\.com/|hugedomains\.com|parklogic\.com|img\.sedoparking|domainmarket\.com|cashparking"
+HOLDS = ("clienthold", "serverhold", "redemptionperiod", "pendingdelete")
+UNREACHED = r"(?i)refused|timed out|timeout|could not resolve|resolution failed|no route|unreachable"
+
 
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -109,22 +115,35 @@ def _sum(text: Column, patterns) -> Column:
     return total
 
 
-def verdict(pages: DataFrame, text: Column, status_code: Column, words: Column, login: Column) -> DataFrame:
+def verdict(pages: DataFrame, text: Column, status_code: Column, words: Column, login: Column, html: Column | None = None, fetch_error: Column | None = None,
+            dns_resolves: Column | None = None, nameservers: Column | None = None, registry_status: Column | None = None) -> DataFrame:
     """pages with status, confidence and the three scores, by patterns in text (lower-cased here) and by status code.
 
-    The best of takedown, parked and inactive, in this order at a tie, wins from 50 points on, with a
+    A registry hold, then a name that does not resolve, then a fetch error without a code decide at once. Else
+    the best of takedown, parked and inactive, in this order at a tie, wins from 50 points on, with a
     confidence of 40 and half its score, 99 at most; else the code decides. A null status code decides nothing.
+    Markup is searched in the first 100,000 characters of html, and a page of fewer than 8 words counts as
+    an empty body if html is given and is null or empty. nameservers and registry_status are arrays.
     """
+    no, given = F.lit(False), lambda c, f: F.lit(False) if c is None else F.coalesce(f(c), F.lit(False))
+    markup = lambda pattern: given(html, lambda c: F.substring(c, 1, 100_000).rlike(pattern))
+    named = given(nameservers, lambda c: F.exists(c, lambda x: F.coalesce(x.rlike(PARKING_NAMESERVERS), no)))
+    held = given(registry_status, lambda c: F.exists(c, lambda x: F.coalesce(F.replace(F.lower(x), F.lit(" "), F.lit("")).isin(*HOLDS), no)))
+    lost, failed = given(dns_resolves, lambda c: ~c), given(fetch_error, lambda c: c != "") & status_code.isNull()
+    unreached = given(fetch_error, lambda c: c.rlike(UNREACHED))
+    bare = no if html is None else (F.coalesce(html, F.lit("")) == "") & status_code.between(200, 299) & (words < 8) & ~login
     low = F.lower(F.coalesce(text, F.lit("")))
-    down = _sum(low, TAKEDOWN) + F.when(status_code == 451, 80).otherwise(0)
-    down = down + F.when(status_code.isin(402, 403) & (_sum(low, TAKEDOWN) > 0), 20).otherwise(0)
-    parked = _sum(low, PARKED) - F.when(login, 60).otherwise(0)
-    gone = _sum(low, INACTIVE) + F.when(status_code.isin(404, 410), 70).when(status_code >= 500, 30).otherwise(0) - F.when(login, 50).otherwise(0)
-    scored = pages.withColumns({"takedown": down, "parked": F.greatest(parked, F.lit(0)), "inactive": F.greatest(gone, F.lit(0)), "__code": status_code, "__long": (words > 30) | login})
+    seized = _sum(low, TAKEDOWN) + F.when(markup(MARKUP_TAKEDOWN), 90).otherwise(0)
+    down = seized + F.when(status_code == 451, 80).when(status_code.isin(402, 403) & (seized > 0), 20).otherwise(0)
+    parked = _sum(low, PARKED) + F.when(markup(MARKUP_PARKING), 60).otherwise(0) + F.when(named, 60).otherwise(0) - F.when(login, 60).otherwise(0)
+    gone = _sum(low, INACTIVE) + F.when(status_code.isin(404, 410), 70).when(status_code >= 500, 30).otherwise(0) + F.when(bare, 40).otherwise(0) - F.when(login, 50).otherwise(0)
+    first = lambda *x: F.when(held, x[0]).when(lost, x[1]).when(failed, F.when(named, x[2]).when(unreached, x[3]).otherwise(x[4]))
+    scored = pages.withColumns({"takedown": down, "parked": F.greatest(parked, F.lit(0)), "inactive": F.greatest(gone, F.lit(0)), "__code": status_code, "__long": (words > 30) | login, "__status": first("TAKEDOWN", "INACTIVE", "PARKED", "INACTIVE", "ERROR"), "__sure": first(90, 85, 70, 70, 60)})
     best = F.greatest("takedown", "parked", "inactive")
     code = F.col("__code")
     status = (F.when(best >= 50, F.when(F.col("takedown") == best, "TAKEDOWN").when(F.col("parked") == best, "PARKED").otherwise("INACTIVE"))
         .when(code >= 500, "ERROR").when(code.between(200, 399), "ACTIVE").when(code.isin(401, 403), "ACTIVE").otherwise("ERROR"))
     sure = (F.when(best >= 50, F.least(F.lit(99), 40 + F.floor(best / 2).cast("int"))).when(code >= 500, 60)
         .when(code.between(200, 399), F.when(F.col("__long"), 70).otherwise(55)).when(code.isin(401, 403), 45).otherwise(40))
-    return scored.withColumns({"status": status, "confidence": sure}).drop("__code", "__long")
+    status, sure = F.coalesce("__status", status), F.coalesce("__sure", sure)
+    return scored.withColumns({"status": status, "confidence": sure}).drop("__code", "__long", "__status", "__sure")

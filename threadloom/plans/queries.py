@@ -335,7 +335,7 @@ FROM (SELECT doc_id, doc_id % 5 AS k, CASE WHEN len(string_split(text, ' ')) > 3
 def content_verdict(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 5
     said = F.when(k == 0, "This domain has been seized. ").when(k == 1, "This domain is for sale ").when(k == 2, "the requested url was not found ").otherwise("")
-    docs = driver.read(spark, d, "documents").select("doc_id", F.concat(said, F.substring("text", 1, 0)).alias("said"), F.size(F.split("text", " ")).alias("w"))
+    docs = driver.read(spark, d, "documents").select("doc_id", F.concat(said, F.coalesce("text", F.lit(""))).alias("said"), F.size(F.split("text", " ")).alias("w"))
     out = P.verdict(docs, F.col("said"), F.when(k == 3, 503).otherwise(200), F.col("w"), F.lit(False))
     return out.select("doc_id", "status", "confidence")
 
