@@ -122,7 +122,6 @@ def test_decontamination(spark, docs, documents, none):
 def test_decontamination_beyond_the_broadcast_limits(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(4, "one"), (7, "no id at all")], "item_id long, text string")
     want = sorted(map(str, decontaminate.report(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "ANCHORS", 0)
     monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     assert sorted(map(str, decontaminate.report(docs, bench).collect())) == want
 

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: a broadcast set of normalised test n-grams against the token windows of the documents.
+"""Benchmark decontamination: a broadcast hash set of normalised test n-grams against the token windows of the documents.
 
-Each n-gram is found by one of its words, the rarest in the benchmark. The documents are read once; where
-such a word stands, the window around it is kept. The n-grams are then matched within these windows word by
-word, so every hit is verified, and the many windows that hold no such word are never formed.
+Each n-gram has a 64-bit key made of the hashes of its words. Every window of a document is keyed alike and
+looks its key up in the set, in a broadcast join; where a key is found, the words themselves are compared, so
+every hit is verified. Windows that miss leave no row.
 """
 
 from __future__ import annotations
@@ -15,16 +15,25 @@ from threadloom.llm.common import fold_ascii, let, materialise, row_key
 #: After A-Z are lower-cased: ASCII letters and digits, and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: The n-grams are broadcast up to this many bytes, and up to so many anchor words; beyond it both sides are shuffled.
-BROADCAST_BYTES, ANCHORS = 64_000_000, 100_000
+#: The n-grams are broadcast up to this many bytes; beyond it the keys of both sides are shuffled, with the same result.
+BROADCAST_BYTES = 64_000_000
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(fold_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _key(hashes: Column, start: Column | int, size: int) -> Column:
+    """The key of the window of size words from start on, from the hashes of the words."""
+    return F.xxhash64(F.lit(size), *(F.get(hashes, F.lit(start) + F.lit(k)) for k in range(size)))
+
+
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """w (words), items (ids as strings), anchor (a word of it) and offset (where the anchor stands): one row per distinct window.
+    """key, w (words), item (its id as a string): one row per distinct window of each item.
 
     An item with fewer words than a window, but not none, is one window. Null text has none; items without
     an id have the id ''.
@@ -33,54 +42,39 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), ws.alias("ws")).filter(F.size("ws") > 0)
     size = F.least(F.size("ws"), F.lit(window))
     cut = F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - size + 1), lambda i: F.slice("ws", i, size)))
-    each = materialise(items.select("item", cut.alias("w")).groupBy("w").agg(F.collect_set("item").alias("items")), "windows")
-    placed = each.select("w", F.posexplode("w").alias("offset", "anchor"))
-    counts = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
-    rarest = F.min_by(F.struct("anchor", "offset"), F.struct("c", -F.char_length("anchor"), "anchor", "offset")).alias("best")
-    best = placed.join(counts, "anchor").groupBy("w").agg(rarest)
-    return each.join(best, "w").select("w", "items", "best.anchor", "best.offset")
-
-
-def candidates(docs: DataFrame, table: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row (row_key), n_words, near: for each anchor word its position, itself, and the words around it with their first position."""
-    table = table.select("anchor").distinct()
-    anchors = [r.anchor for r in table.limit(ANCHORS + 1).collect()]
-    base = (F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
-
-    def near(ws: Column, at: Column) -> Column:
-        def around(i: Column) -> Column:
-            start = F.greatest(i - (window - 1), F.lit(0))
-            return F.struct(i.alias("pos"), F.get(ws, i).alias("anchor"), start.alias("start"), F.slice(ws, start + 1, i - start + window).alias("around"))
-
-        return F.transform(at, around)
-
-    places = lambda ws: F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
-    if len(anchors) <= ANCHORS:
-        found = lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), near(ws, F.filter(places(ws), lambda i: F.get(ws, i).isin(anchors))).alias("near"))
-        # explode() of a one-element array keeps the fields from being computed twice
-        return docs.select(*base, F.explode(F.array(let(words(F.col(text_col)), found))).alias("x")).select("doc_id", "row", "x.*")
-    every = docs.select(*base, F.explode(F.array(words(F.col(text_col)))).alias("ws"))
-    each = every.select("row", F.explode(near(F.col("ws"), places(F.col("ws")))).alias("x")).join(table, F.col("x.anchor") == F.col("anchor"), "left_semi")
-    kept = each.groupBy("row").agg(F.collect_set("x").alias("near"))
-    return every.select("doc_id", "row", F.size("ws").cast("long").alias("n_words")).join(kept, "row", "left").withColumn("near", F.coalesce("near", F.array().cast(kept.schema["near"].dataType)))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(all, hits). all: doc_id, row, n_words of each row; hits: row, n_hit, items (ids as strings, sorted), positions (of hit words) of rows with a hit."""
-    table = materialise(benchmark_windows(benchmark, window), "ngrams")
-    if (table.agg(F.sum(F.octet_length(F.array_join("w", " ")) + F.octet_length(F.array_join("items", ",")) + 100)).first()[0] or 0) <= BROADCAST_BYTES:
-        few = F.broadcast(table)
-    else:
-        few = table
-    base = materialise(candidates(docs, table, window, id_col, text_col), "candidates")
-    at = base.filter(F.size("near") > 0).select("row", F.inline("near"))
-    start = F.col("pos") - F.col("offset")
-    same = (start >= F.col("start")) & (F.slice("around", F.greatest(start - F.col("start"), F.lit(0)) + 1, F.size("w")) == F.col("w"))
-    found = at.join(few, "anchor").filter(same).select("row", F.sequence(start, start + F.size("w") - 1).alias("at"), "items")
-    found = materialise(found, "hits")
-    spread = found.select("row", F.explode("at").alias("pos")).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
-    named = found.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return base.drop("near"), spread.join(named, "row").select("row", F.size("positions").cast("long").alias("n_hit"), "items", "positions")
+    each = items.select("item", cut.alias("w")).distinct()
+    key = F.lit(None).cast("long")
+    for n in range(1, window + 1):
+        key = F.when(F.size("w") == n, _key(_hashes(F.col("w")), 0, n)).otherwise(key)
+    return each.select(key.alias("key"), "w", "item")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (row_key), pos, n, item: each occurrence of a benchmark window of n words, at word pos, in a row of docs, for each item that has it."""
+    items = materialise(benchmark_windows(benchmark, window), "ngrams")
+    grams = materialise(items.select("key", "w").distinct(), "grams")
+    facts = grams.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 60), F.collect_set(F.size("w"))).first()  # sizes: at most window numbers
+    few = F.broadcast(grams) if (facts[0] or 0) <= BROADCAST_BYTES else grams
+    # explode() of a one-element array keeps the words from being found twice
+    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
+    texts = texts.select("row", "ws", F.explode(F.array(_hashes(F.col("ws")))).alias("hs"))
+    found = None
+    for n in sorted(facts[1]) or [window]:
+        starts = F.when(F.size("hs") >= n, F.sequence(F.lit(0), F.size("hs") - n)).otherwise(F.array().cast("array<int>"))
+        # the key is computed after explode(), where it is compiled, and not in a lambda
+        at = texts.select("row", "ws", "hs", F.explode(starts).alias("pos")).select("row", "ws", "pos", _key(F.col("hs"), F.col("pos"), n).alias("key")).join(few, "key")
+        each = at.filter(F.slice("ws", F.col("pos") + 1, F.lit(n)) == F.col("w")).select("row", "pos", F.lit(n).alias("n"), "key", "w")
+        found = each if found is None else found.unionByName(each)
+    found = materialise(found.select("row", "pos", "n", "key", "w").distinct(), "hits")
+    return found.join(items, ["key", "w"]).select("row", "pos", "n", "item")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (row_key), n_hit, items (ids as strings, sorted), positions (of hit words): one row per row of docs with a hit."""
+    found = hits(docs, benchmark, window, id_col, text_col)
+    spread = found.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    named = found.select("row", "item").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return spread.join(named, "row").select("row", F.size("positions").cast("long").alias("n_hit"), "items", "positions")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,7 +85,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    hit = scan(docs, benchmark, window, id_col, text_col)[1].select(F.col("row").alias("__row"), F.col("positions").alias("__at"))
+    hit = scan(docs, benchmark, window, id_col, text_col).select(F.col("row").alias("__row"), F.col("positions").alias("__at"))
     key = row_key(F.col(id_col), F.col(text_col))
     if remove == "documents":
         return docs.withColumn("__key", key).join(hit, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
@@ -109,7 +103,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), contaminated: one row per row of docs, contaminated or not."""
-    base, hit = scan(docs, benchmark, window, id_col, text_col)
-    out = base.join(hit.drop("positions"), "row", "left")
+    hit = materialise(scan(docs, benchmark, window, id_col, text_col).drop("positions"), "hit_rows")
+    base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    out = base.join(hit, "row", "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
