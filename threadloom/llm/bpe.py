@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadloom.llm.common import parts, texts_in_small_batches
+
 #: One white space in so many ends a chunk (a power of two): about 750 bytes of prose.
 CUT_ONE_IN = 128
 #: Bytes of shared chunk text that are encoded for all tasks at once, and the rows that are looked at to fill them.
@@ -106,9 +108,12 @@ class Encoder:
         self.names = None
 
     def raw(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian uint32, straight from the library."""
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        """Ids of each piece as little-endian uint32, straight from the library; a few at a time, as its results are large."""
+        out = []
+        for lo in range(0, len(pieces), 2048):
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces[lo : lo + 2048]], add_special_tokens=False)
+            out += [np.array(x.ids, "<u4").tobytes() for x in found]
+        return out
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if not self.words.knows(w)]
@@ -220,7 +225,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
     that token, as in the library. Input columns named as results are replaced, all others stay; an empty
     table gives none.
     """
-    path = path or default_tokenizer()
+    path, docs = path or default_tokenizer(), texts_in_small_batches(docs)
     given = docs.sparkSession.sparkContext.broadcast(_hot(docs, path, text_col))
     results = ["ids", "decoded"] if decoded else ["ids"]
     source = docs.drop(*results)
@@ -230,8 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
     def run(batches):
         encoder = Encoder(path, given.value)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in parts(batch, at):
                 found = encoder.encode(list(chunks(part.column(at))))
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))]
@@ -245,7 +249,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", dec
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """encoded with decoded: what the library's decode(ids, skip_special_tokens=False) gives for ids_col. Null or no ids give ''."""
-    path = path or default_tokenizer()
+    path, encoded = path or default_tokenizer(), texts_in_small_batches(encoded)
     kept = encoded.drop("decoded")
     at = kept.columns.index(ids_col)
 
@@ -254,8 +258,8 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
 
         decode_batch = Tokenizer.from_file(path).decode_batch
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 out = decode_batch([x or [] for x in part.column(at).to_pylist()], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
 
