@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import BLANK, fold_ascii, let, materialise, row_key
+from threadloom.llm.common import BLANK, fold_ascii, let, materialise, row_key, unused
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -26,13 +26,17 @@ def _lines(text: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (row_key), kept (positions that stay, ascending), n_dropped: one row per row that loses lines.
 
-    A key of min_chars code points that min_docs rows have at least loses all its lines. Each row of docs
-    counts as a document, rows of equal ids too. Duplicate lines of one row count once.
+    A key of min_chars code points that min_docs documents have at least loses all its lines. Rows of one
+    doc_id are one document, told by a 64-bit hash of the id; rows without an id are documents by their text.
     """
     short = lambda key: F.when(F.char_length(key) >= min_chars, F.unhex(F.md5(key)))
     keys = F.transform(_lines(F.col(text_col)), lambda line: let(line_key(line), short))
-    hashed = materialise(docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), keys.alias("hs")), "line_keys")
-    common = hashed.select(F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).groupBy("h").count().filter(F.col("count") >= min_docs).select("h")
+    document = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(0), text_col)).otherwise(F.xxhash64(id_col))
+    hashed = materialise(docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), document.alias("document"), keys.alias("hs")), "line_keys")
+    found = hashed.select("document", F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).groupBy("h")
+    # counted by rows first, as that needs one row a task and hash; documents are told apart only where rows are enough
+    several = materialise(found.agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= min_docs).select("h"), "frequent_lines")
+    common = hashed.select("document", F.explode(F.array_distinct(F.array_compact("hs"))).alias("h")).join(several, "h").groupBy("h").agg(F.count_distinct("document").alias("c")).filter(F.col("c") >= min_docs).select("h")
     common = materialise(common, "common_lines")  # so the join can split the rows of a hot key
     at = hashed.select("row", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h")).filter(F.col("h").isNotNull())
     gone = at.join(common, "h").groupBy("row").agg(F.max("n").alias("n"), F.collect_set("pos").alias("gone"))
@@ -46,9 +50,11 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     Null or empty text is one empty line and stays as it is. A text that loses all lines becomes empty.
     Input columns named n_lines or n_dropped are replaced; all others stay. An empty table gives none.
     """
-    gone = dropped_lines(docs, min_docs, min_chars, id_col, text_col).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"), F.col("n_dropped").alias("__n"))
-    out = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col))).join(gone, F.col("__key") == F.col("__row"), "left")
-    text, kept = F.col(text_col), F.col("__kept")
+    docs = docs.drop("n_lines", "n_dropped")
+    row, stay, n = unused(docs, "row", "stay", "n")
+    gone = dropped_lines(docs, min_docs, min_chars, id_col, text_col).select(F.col("row").alias(row), F.col("kept").alias(stay), F.col("n_dropped").alias(n))
+    out = docs.join(gone, row_key(docs[id_col], docs[text_col]) == gone[row], "left")
+    text, kept = F.col(text_col), F.col(stay)
     joined = let(_lines(text), lambda lines: F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    outputs = {"n_lines": F.size(_lines(text)).cast("long"), "n_dropped": F.coalesce(F.col("__n"), F.lit(0)).cast("long"), text_col: F.when(kept.isNull(), text).otherwise(joined)}
-    return out.withColumns(outputs).drop("__key", "__row", "__kept", "__n")
+    outputs = {"n_lines": F.size(_lines(text)).cast("long"), "n_dropped": F.coalesce(F.col(n), F.lit(0)).cast("long"), text_col: F.when(kept.isNull(), text).otherwise(joined)}
+    return out.withColumns(outputs).drop(row, stay, n)
