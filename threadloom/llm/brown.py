@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, row_key
+from threadloom.llm.common import materialise, parts, row_key, texts_in_small_batches
 
 ENDINGS, CLASSES, ROUNDS = 500, 48, 10
 #: A word that training has so often is a unit by itself.
@@ -120,8 +120,8 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
 
         rows = [0]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows += units.of([w for t in batch.column(0).slice(lo, 256).to_pylist() for w in tokens(t)])
+            for part in parts(batch, 0):
+                rows += units.of([w for t in part.column(0).to_pylist() for w in tokens(t)])
                 if len(rows) > 1_000_000:
                     yield from counted(rows)
                     rows = [0]
@@ -186,14 +186,20 @@ def class_bigrams(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
 
 def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The likeliest class of each unit by the class bigrams without it; own, after and before have a row per unit."""
-    i, (n, classes) = np.arange(len(own)), after.shape
-    t = np.broadcast_to(table, (n, classes, classes)).copy()
-    t[i, own] -= after
-    t[i, :, own] -= before
-    t = np.maximum(t, 0) + 0.5
-    out = after.sum(1, keepdims=True) * np.log(t.sum(2)) + before.sum(1, keepdims=True) * np.log(t.sum(1))
-    t = np.log(t)
-    return ((t @ after[:, :, None])[..., 0] + (before[:, None] @ t)[:, 0] - out).argmax(1)
+    # the table without the unit differs in the row and the column of its own class only
+    i, half = np.arange(len(own)), 0.5
+    logs = np.log(table + half)
+    row = np.maximum(table[own] - after, 0) + half
+    column = np.maximum(table[:, own].T - before, 0) + half
+    row[i, own] = column[i, own] = np.maximum(table[own, own] - after[i, own] - before[i, own], 0) + half
+    got = after @ logs.T + before @ logs
+    got += after[i, own, None] * (np.log(column) - logs[:, own].T) + before[i, own, None] * (np.log(row) - logs[own])
+    got[i, own] = (after * np.log(row)).sum(1) + (before * np.log(column)).sum(1)
+    leaving = (table + half).sum(1) - (table[:, own].T + half) + column
+    leaving[i, own] = row.sum(1)
+    entering = (table + half).sum(0) - (table[own] + half) + row
+    entering[i, own] = column.sum(1)
+    return (got - after.sum(1, keepdims=True) * np.log(leaving) - before.sum(1, keepdims=True) * np.log(entering)).argmax(1)
 
 
 def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -210,7 +216,7 @@ def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = R
 
         def move(batches, table=table, given=given, r=r):
             for batch in batches:
-                for unit, after, before in _profiles(batch, given.value, classes, 128):
+                for unit, after, before in _profiles(batch, given.value, classes, 2048):
                     unit = unit.astype(np.int64)
                     turn = unit >= classes if r == 0 else (unit * 2654435761 >> 7) % 2 != r % 2 if r > 1 else unit >= 0
                     unit, after, before = unit[turn], after[turn], before[turn]
@@ -246,7 +252,7 @@ def fit(train: DataFrame, head: int = HEAD, units: int | None = None, endings: i
 
     units limits the words that are units by themselves to the most frequent; by default all that occur LEAST times are.
     """
-    train = train.select(F.col(text_col).alias("text"))
+    train = texts_in_small_batches(train).select(F.col(text_col).alias("text"))
     counts = materialise(word_counts(train), "word_counts")
     n, v = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     if not n:
@@ -291,6 +297,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Null text is empty: the end alone. Rows that repeat id and text get the same figures. An empty table gives an empty result.
     """
+    docs = texts_in_small_batches(docs)
     given = docs.sparkSession.sparkContext.broadcast((model.words, model.endings, model.classes, model.transitions, model.denominators, model.head))
     base = np.log10(model.total + 0.5 * (model.distinct + 1))
 
@@ -301,8 +308,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         logs = np.log10(np.array([*head.values(), 0.5]) + 0.5)  # the last, of words that are not in the head, is 0
         end = classes[0]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in parts(batch, 2):
                 cols: dict[str, list] = {"n_tokens": [], "n_head": [], "shared": [], "own": [], "rare": []}
                 for t in part.column(2).to_pylist():
                     ws = tokens(t)
