@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold_ascii, let, materialise, row_key
+from threadloom.llm.common import fold_ascii, let, materialise, row_key, unused
 
 #: After A-Z are lower-cased: ASCII letters and digits, and all that is not ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,20 +85,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    hit = scan(docs, benchmark, window, id_col, text_col).select(F.col("row").alias("__row"), F.col("positions").alias("__at"))
-    key = row_key(F.col(id_col), F.col(text_col))
+    row, at = unused(docs, "row", "at")
+    hit = scan(docs, benchmark, window, id_col, text_col).select(F.col("row").alias(row), F.col("positions").alias(at))
+    same = row_key(docs[id_col], docs[text_col]) == hit[row]
     if remove == "documents":
-        return docs.withColumn("__key", key).join(hit, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
+        return docs.join(hit, same, "left_anti")
     # without a hit word the text stays; each piece is a word with what follows it
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
     lead = F.regexp_extract(F.col(text_col), r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
 
     def rest(ps: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(ps) - 1), "__at")
+        stay = F.array_except(F.sequence(F.lit(0), F.size(ps) - 1), at)
         return F.concat(lead, F.array_join(F.transform(stay, lambda i: F.get(ps, i)), ""))
 
-    out = docs.withColumn("__key", key).join(hit, F.col("__key") == F.col("__row"), "left")
-    return out.withColumn(text_col, F.when(F.col("__at").isNull(), F.col(text_col)).otherwise(let(pieces, rest))).drop("__key", "__row", "__at")
+    out = docs.join(hit, same, "left")
+    return out.withColumn(text_col, F.when(F.col(at).isNull(), F.col(text_col)).otherwise(let(pieces, rest))).drop(row, at)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,6 +47,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_groups keeps, with all their columns; rows without an id stay only if their group has no id."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_digest")).distinct()
+    kept = exact_groups(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256").distinct()
     digest = F.sha2(fold_ascii(F.coalesce(docs[text_col], F.lit(""))), 256)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]) & (digest == kept["__kept_digest"]), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]) & (digest == kept["text_sha256"]), "left_semi")

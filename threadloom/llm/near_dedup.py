@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, row_key
+from threadloom.llm.common import materialise, parts, row_key, texts_in_small_batches
 from threadloom.operators.components import components
 from threadloom.llm.shingles import mix, shingle_sets
 
@@ -70,8 +70,7 @@ def signatures(docs: DataFrame, words: int, rows: int, halves: int, id_col: str,
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in parts(batch, 2):
                 found = list(_signatures(shingle_sets(part.column(2), words), rows, halves))
                 longs = [[None if k is None else k[x : x + halves] for _, _, k in found] for x in (0, halves)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in longs)], names=["doc_id", "row", "node", "n", "a", "b"])
@@ -122,8 +121,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col:
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in parts(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), words)], pa.binary())], names=["node", "set"])
 
     # rows that repeat id and text give the same set again
@@ -196,7 +194,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     kept is doc_id <=> component_id. Null, empty and blank texts have no shingles, are linked with nothing
     and kept. Rows that repeat an id are told apart by their text. An empty table gives an empty result.
     """
-    signed = materialise(signatures(docs, words, *banding(percent), id_col, text_col), "signatures")
+    signed = materialise(signatures(texts_in_small_batches(docs), words, *banding(percent), id_col, text_col), "signatures")
     nodes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
     members = materialise(buckets(nodes), "buckets")
     lead = F.max(F.struct("w", "node", "n")).alias("f")
@@ -223,5 +221,5 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_groups keeps, with all their columns."""
-    gone = near_groups(docs, words, percent, id_col=id_col, text_col=text_col).filter("NOT kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col))).join(gone, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
+    gone = near_groups(docs, words, percent, id_col=id_col, text_col=text_col).filter("NOT kept").select("row")
+    return docs.join(gone, row_key(docs[id_col], docs[text_col]) == gone["row"], "left_anti")

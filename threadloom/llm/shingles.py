@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _Q = 0x9E3779B97F4A7C15 | 1
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -61,11 +61,30 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(h ^ (ends - starts).astype(np.uint64) * np.uint64(_Q)), np.searchsorted(starts, bounds)
 
 
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in pieces of about BLOCK bytes, cut after a white space, so no word is cut; one without white space stays whole."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + BLOCK, len(data))
+        while hi < len(data):
+            space = np.flatnonzero(_SPACE[data[hi : hi + BLOCK]])
+            if len(space):
+                hi += int(space[0]) + 1
+                break
+            hi = min(hi + BLOCK, len(data))
+        yield data[lo:hi]
+        lo = hi
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingles of each text; with fewer words the whole sequence is one; without words none."""
     base = np.uint64(0xD6E8FEB86659FD93)
     for data, bounds in blocks(column):
-        h, at = word_hashes(data, bounds)
+        if len(data) > 2 * BLOCK:  # one long text
+            h = np.concatenate([word_hashes(p, np.array([0, len(p)]))[0] for p in _pieces(data)])
+            at = np.array([0, len(h)])
+        else:
+            h, at = word_hashes(data, bounds)
         runs = h.copy()
         for i in range(1, k):
             n = max(len(h) - i, 0)

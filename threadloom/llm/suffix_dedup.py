@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.anchors import anchors
-from threadloom.llm.common import materialise, row_key
-from threadloom.llm.shingles import blocks
+from threadloom.llm.common import materialise, row_key, texts_in_small_batches, unused
+from threadloom.llm.shingles import BLOCK, blocks
 
 LENGTH = 400
 #: Blocks of one name that a task holds at once: about 0.6 KB each, and 20 KB more while they are compared.
@@ -50,13 +50,16 @@ def found_blocks(texts: DataFrame, length: int) -> DataFrame:
         names, kinds = ["row", "pos", "h", "near", "far", "digest"], [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             at = 0
-            for data, bounds in blocks(batch.column(1)):
-                pos, h, first, last = anchors(data, bounds, length)
-                view = memoryview(np.ascontiguousarray(data))
-                digests = [xxhash.xxh3_128_digest(view[s : e + length], x - s) for x, s, e in zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)]
-                text = np.searchsorted(bounds, first, "right") - 1
-                rows = batch.column(0).slice(at, len(bounds) - 1).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, k) for c, k in zip((pos - bounds[text], h.view(np.int64), pos - last, pos - first, digests), kinds[1:], strict=True))], names=names)
+            for whole, bounds in blocks(batch.column(1)):
+                # a long text goes by pieces of overlapping strings: each string starts in one of them
+                for lo in range(0, max(len(whole) - length + 1, 1), 2 * BLOCK) if len(whole) > 2 * BLOCK else [0]:
+                    data, edges = (whole[lo : lo + 2 * BLOCK + length - 1], None) if len(whole) > 2 * BLOCK else (whole, bounds)
+                    pos, h, first, last = anchors(data, np.array([0, len(data)]) if edges is None else edges, length)
+                    view = memoryview(np.ascontiguousarray(data))
+                    digests = [xxhash.xxh3_128_digest(view[s : e + length], x - s) for x, s, e in zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)]
+                    text = np.zeros(len(first), np.int64) if edges is None else np.searchsorted(edges, first, "right") - 1
+                    rows = batch.column(0).slice(at, len(bounds) - 1).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays([rows, *(pa.array(c, k) for c, k in zip((pos - bounds[text] + lo, h.view(np.int64), pos - last, pos - first, digests), kinds[1:], strict=True))], names=names)
                 at += len(bounds) - 1
 
     return texts.mapInArrow(run, "row binary, pos int, h long, near int, far int, digest binary")
@@ -96,7 +99,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (row_key), spans (array of from, to; maximal, ascending, in UTF-8 bytes): one row per row with bytes that a string of length covers which starts elsewhere too."""
-    texts = _texts(docs, id_col, text_col)
+    texts = _texts(texts_in_small_batches(docs), id_col, text_col)
     found = materialise(found_blocks(texts, length), "blocks")
     again = materialise(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "again")
     # the digest alone is the key, so that a name with many rows can be split in the join and is pre-aggregated after it
@@ -195,12 +198,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     of each other and lose all that length reaches. kept is bytes because a span may begin or end within
     a character. Input columns with these names are replaced, all others stay; an empty table gives none.
     """
-    spans = materialise(repeats(docs, length, id_col, text_col), "spans").select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    out = docs.drop("n_bytes", "spans", "kept").withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
-    out = out.join(spans, F.col("__key") == F.col("__row"), "left").drop("__key", "__row")
+    docs = docs.drop("n_bytes", "spans", "kept")
+    row, cut_at = unused(docs, "row", "cut_at")
+    spans = materialise(repeats(docs, length, id_col, text_col), "spans").select(F.col("row").alias(row), F.col("spans").alias(cut_at))
+    out = docs.join(spans, row_key(docs[id_col], docs[text_col]) == spans[row], "left").drop(row)
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     out = out.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "kept": body})
-    out = out.withColumn("spans", F.coalesce("__spans", F.array().cast(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))))).drop("__spans")
+    out = out.withColumn("spans", F.coalesce(cut_at, F.array().cast(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))))).drop(cut_at)
     at, where = out.columns.index("kept"), out.columns.index("spans")
 
     def cut(batches):
