@@ -18,10 +18,12 @@ def session(name: str = "threadloom", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset and Spark runs in this process (tests), a folder of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark, "_threadloom_scratch", None)
     if own is None:
         own = f"file://{tempfile.mkdtemp(prefix='threadloom-')}"
@@ -36,4 +38,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._threadloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for these tables. No unwritten result may depend on them any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._threadloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
