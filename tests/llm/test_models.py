@@ -172,6 +172,33 @@ def test_suffix_dedup(docs, documents, none, monkeypatch, hot, length):
     assert any(k[2] for k in want) and suffix_dedup.suffix_dedup(none, length).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_passages_are_told_and_long_texts_go_by_pieces(spark, monkeypatch, block):
+    from threadloom.llm import shingles
+
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    short, long = prose(56), prose(130)
+    assert 220 < len(short) < 400 < len(long)
+    rows = [(1, f"{prose(900)} {short} {prose(30)}"), (2, f"{prose(20)} {short} {prose(10)}"), (3, f"{long} {prose(2000)}"), (4, f"{prose(1500)} {long}"), (5, prose(500)), (6, prose(40)), (7, None)]
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id int, text string"), passages=True).collect()
+    assert {r.doc_id: (r.n_passages, len(r.spans)) for r in out} == {1: (1, 0), 2: (1, 0), 3: (1, 1), 4: (1, 1), 5: (0, 0), 6: (0, 0), 7: (0, 0)}
+    want = spans_wanted([(t or "").encode() for _, t in rows], 400)
+    assert {r.doc_id: tuple((s.a, s.b) for s in r.spans) for r in out} == dict(zip((i for i, _ in rows), want, strict=True))
+
+
+def test_long_text_has_the_shingles_of_its_pieces(monkeypatch):
+    from threadloom.llm import shingles
+
+    text = "One two  three\tfour five\n" * 40 + "x" * 300 + " end of it"
+    (whole,) = shingle_sets(pa.array([text]), 3)
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    (pieces,) = shingle_sets(pa.array([text]), 3)
+    assert (whole == pieces).all() and len(whole) == len({tuple(text.lower().split()[i : i + 3]) for i in range(len(text.split()) - 2)})
+
+
 def test_recurring_against_all_pairs():
     rng = random.Random(5)
     for _ in range(60):

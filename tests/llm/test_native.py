@@ -129,3 +129,14 @@ def test_decontamination_beyond_the_broadcast_limits(spark, docs, monkeypatch):
 def test_crc_matches_python(docs):
     r = docs.filter("doc_id = 405").select(F.crc32("text").alias("c"), "text").first()
     assert r.c == zlib.crc32(r.text.encode())
+
+
+def test_rows_of_one_document_are_one_document_and_any_column_stays(spark):
+    rows = [(1, f"shared line\n{i}", "k") for i in range(10)] + [(i, f"common line\nown {i}", "k") for i in range(20, 30)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, __key string").withColumnsRenamed({"__key": "row"})
+    out = line_dedup.line_dedup(docs)
+    assert {r.n_dropped for r in out.collect() if r.doc_id == 1} == {0} and {r.n_dropped for r in out.collect() if r.doc_id > 1} == {1}
+    assert out.columns[:3] == docs.columns and {r["row"] for r in out.collect()} == {"k"}
+    bench = spark.createDataFrame([("b", "common line own 21")], "item_id string, text string")
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    assert decontaminate.decontaminate(docs, bench).count() == 19

@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.spark import materialise  # noqa: F401  (the operators take it from here)
+from threadloom.spark import discard, materialise  # noqa: F401  (the operators take it from here)
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

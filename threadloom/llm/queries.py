@@ -56,9 +56,9 @@ def op3_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=True)
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 @query

@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.llm.anchors import anchors
-from threadloom.llm.common import materialise, row_key, texts_in_small_batches, unused
+from threadloom.llm.common import discard, materialise, row_key, texts_in_small_batches, unused
 from threadloom.llm.shingles import BLOCK, blocks
 
 LENGTH = 400
+#: A passage has more than so many words and recurs in strings of so many bytes at least, which that many words have in any prose.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 220
 #: Blocks of one name that a task holds at once: about 0.6 KB each, and 20 KB more while they are compared.
 HOT = 2048
 
@@ -188,28 +190,39 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 out.append(merged)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "spans"])
 
-    return spans.mapInArrow(merge, "row binary, spans array<struct<a: int, b: int>>")
+    out = materialise(spans.mapInArrow(merge, "row binary, spans array<struct<a: int, b: int>>"), "spans")
+    discard(found, again, kinds, wanted, fetched, single, twice, runs)
+    return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
     """docs with n_bytes (long), spans (removed, as repeats() has them) and kept (binary: the remaining bytes).
 
+    With passages also n_passages (long): runs of more than PASSAGE_WORDS words that recur elsewhere in
+    strings of PASSAGE_BYTES, also where they are too short to be removed. They are told, not removed.
+
     Null text is empty. Texts shorter than length lose nothing. Rows that repeat id and text are repeats
     of each other and lose all that length reaches. kept is bytes because a span may begin or end within
     a character. Input columns with these names are replaced, all others stay; an empty table gives none.
     """
-    docs = docs.drop("n_bytes", "spans", "kept")
-    row, cut_at = unused(docs, "row", "cut_at")
-    spans = materialise(repeats(docs, length, id_col, text_col), "spans").select(F.col("row").alias(row), F.col("spans").alias(cut_at))
+    docs = docs.drop("n_bytes", "spans", "kept", *(["n_passages"] if passages else []))
+    row, cut_at, told_at = unused(docs, "row", "cut_at", "told_at")
+    spans = repeats(docs, length, id_col, text_col).select(F.col("row").alias(row), F.col("spans").alias(cut_at))
+    if passages:
+        spans = spans.join(repeats(docs, PASSAGE_BYTES, id_col, text_col).select(F.col("row").alias(row), F.col("spans").alias(told_at)), row, "full")
     out = docs.join(spans, row_key(docs[id_col], docs[text_col]) == spans[row], "left").drop(row)
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     out = out.withColumns({"n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), "kept": body})
     out = out.withColumn("spans", F.coalesce(cut_at, F.array().cast(T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))))).drop(cut_at)
     at, where = out.columns.index("kept"), out.columns.index("spans")
+    told = out.columns.index(told_at) if passages else None
 
     def cut(batches):
         for batch in batches:
             kept = []
+            if told is not None:
+                long = [sum(len(bytes(data.as_buffer()[s["a"] : s["b"]]).split()) > PASSAGE_WORDS for s in spans or []) for data, spans in zip(batch.column(at), batch.column(told).to_pylist(), strict=True)]
+                batch = batch.set_column(told, told_at, pa.array(long, pa.int64()))
             for data, spans in zip(batch.column(at), batch.column(where).to_pylist(), strict=True):
                 data, parts, end = data.as_buffer(), [], 0
                 for s in spans:
@@ -218,6 +231,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 kept.append(b"".join([*parts, memoryview(data)[end:]]) if spans else bytes(data))
             columns = list(batch.columns)
             columns[at] = pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return out.mapInArrow(cut, out.schema)
+    schema = T.StructType([T.StructField("n_passages", T.LongType()) if f.name == told_at and passages else f for f in out.schema.fields])
+    return out.mapInArrow(cut, schema)
