@@ -96,3 +96,71 @@ def last_n(items: Column, n: int) -> Column:
 
 def url_host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^\[|\]$", "")
+
+
+# Public suffixes known here; under any other, a host is its own registrable domain.
+SUFFIXES = ("com", "net", "org", "info", "biz", "io", "co", "dev", "app", "de", "fr", "es", "it", "nl", "ru", "cn", "in", "us", "uk", "co.uk", "org.uk", "com.au", "com.br", "co.jp")
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The label before the longest known suffix, with it; the host itself, lower-cased, under no known suffix."""
+    h = F.lower(host)
+    out = h
+    for s in sorted(suffixes, key=lambda s: s.count(".")):
+        label = F.regexp_extract(h, r"([^.]+\." + s.replace(".", r"\.") + ")$", 1)
+        out = F.when(label != "", label).otherwise(out)
+    return out
+
+
+def hosting_name(as_name: Column) -> Column:
+    """The organisation of an AS name: what follows ' - ', without the country at the end."""
+    return F.trim(F.regexp_replace(F.regexp_replace(as_name, r"^.*? - ", ""), r",\s*[A-Z]{2}$", ""))
+
+
+def reversed_octets(ip: Column) -> Column:
+    return F.array_join(F.reverse(F.split(ip, r"\.")), ".")
+
+
+def short_issuer(name: Column) -> Column:
+    """The organisation (O=) of a distinguished name, without quotes, or else its first 80 characters."""
+    org = F.regexp_extract(name, r'(?:^|,\s*)O=("[^"]*"|[^,]*)', 1)
+    return F.when(org != "", F.trim(F.btrim(org, F.lit('"')))).otherwise(F.substring(name, 1, 80))
+
+
+def snapshot_time(digits: Column) -> Column:
+    """yyyyMMddHHmmss as an ISO time; null if it is none."""
+    return F.when(digits.rlike("^[0-9]{14}$"), F.regexp_replace(digits, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", r"$1-$2-$3T$4:$5:$6Z"))
+
+
+def quoted(term: Column) -> Column:
+    """A search term in double quotes, with backslashes and quotes escaped."""
+    return F.concat(F.lit('"'), F.replace(F.replace(term, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def html_escaped(value: Column) -> Column:
+    for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        value = F.replace(value, F.lit(c), F.lit(e))
+    return value
+
+
+def label(value: Column, most: int = 60) -> Column:
+    """At most so many characters, the last three dots where it is cut."""
+    return F.when(F.char_length(value) > most, F.concat(F.substring(value, 1, most - 3), F.lit("..."))).otherwise(value)
+
+
+def time_ago(seconds: Column) -> Column:
+    """Whole seconds, minutes, hours or days since."""
+    out = F.when(seconds < 60, F.concat(F.greatest(seconds, F.lit(0)).cast("string"), F.lit("s ago")))
+    for bound, unit, name in ((3600, 60, "m ago"), (86400, 3600, "h ago")):
+        out = out.when(seconds < bound, F.concat(F.floor(seconds / unit).cast("string"), F.lit(name)))
+    return out.otherwise(F.concat(F.floor(seconds / 86400).cast("string"), F.lit("d ago")))
+
+
+def kind_of_id(value: Column, cluster_prefix: str = "CL-") -> Column:
+    return F.when(value.startswith("inv_"), "investigation").when(value.startswith(cluster_prefix), "cluster").otherwise("asset")
+
+
+def internal_host(host: Column) -> Column:
+    """localhost, names under local, internal or lan, and private or loopback IPv4 addresses."""
+    h = F.lower(host)
+    return h.rlike(r"^localhost$|\.(local|internal|lan)$|^(10|127)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^172\.(1[6-9]|2\d|3[01])\.\d+\.\d+$|^169\.254\.\d+\.\d+$|^0\.0\.0\.0$")

@@ -6,10 +6,17 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadloom.config import HOST_TYPES, NOISE_FACTOR, RELATION_FEATURES, Scoring
 
+# Autonomous systems of content networks, and parts of the names of common name servers.
+CDN_ASNS = (
+    "AS13335", "AS20940", "AS16625", "AS54113", "AS15169", "AS8075", "AS16509", "AS14618", "AS209242", "AS396982", "AS8068", "AS32934", "AS19551", "AS60068",
+)
+SHARED_NAMESERVERS = (
+    "cloudflare.com", "awsdns", "domaincontrol.com", "azure-dns", "googledomains.com", "registrar-servers.com", "nsone.net", "dnsmadeeasy.com", "ultradns",
+    "akam.net", "dynect.net", "hostinger", "name-services.com", "dns.google",
+)
 INFRA = {"RESOLVES_TO": "ip", "BELONGS_TO_ASN": "asn", "HOSTED_ON": "hosting", "USES_NAMESERVER": "nameserver"}
 
 
@@ -35,16 +42,30 @@ def noisy_nodes(edges: DataFrame, limit: int) -> DataFrame:
     return edges.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
 
 
-def evidence(features: DataFrame, seeds: DataFrame, noisy: DataFrame, scoring: Scoring) -> DataFrame:
+def evidence(features: DataFrame, seeds: DataFrame, noisy: DataFrame, scoring: Scoring, labels: DataFrame | None = None) -> DataFrame:
     """host, feature, shared, weight: features whose nodes a host shares with any of seeds(host), which are left out themselves.
 
-    A feature is damped if all shared nodes are noisy.
+    A fingerprint or IP is damped if all shared nodes are noisy. With labels(node, label), the names of nodes,
+    IP and hosting are damped too if any ASN of the seeds is a CDN's, ASN if any shared one is, and
+    nameserver if all shared ones are a common provider's. Weights are rounded to one decimal, half to even.
     """
     wanted = features.join(seeds, "host", "left_semi").select("feature", "node").distinct()
     met = features.join(seeds, "host", "left_anti").join(wanted, ["feature", "node"]).join(noisy.select("node", F.lit(True).alias("noisy")), "node", "left")
-    each = met.groupBy("host", "feature").agg(F.count(F.lit(1)).alias("shared"), F.bool_and(F.coalesce("noisy", F.lit(False))).alias("damped"))
+    each = F.coalesce("noisy", F.lit(False)) & ~F.col("feature").isin("asn", "hosting", "nameserver")
+    damped, cdn = F.bool_and(each), F.lit(False)
+    if labels is not None:
+        met = met.join(labels, "node", "left")
+        name = F.coalesce("label", F.lit(""))
+        content = F.bool_or((F.col("feature") == "asn") & F.upper(name).isin(*CDN_ASNS))
+        common = F.bool_and((F.col("feature") == "nameserver") & F.lower(name).rlike("|".join(s.replace(".", r"\.") for s in SHARED_NAMESERVERS)))
+        damped = damped | content | common
+        own = wanted.filter("feature = 'asn'").join(labels, "node").agg(F.coalesce(F.bool_or(F.upper("label").isin(*CDN_ASNS)), F.lit(False)).alias("cdn"))
+        cdn = F.col("cdn") & F.col("feature").isin("ip", "hosting")
+    grouped = met.groupBy("host", "feature").agg(F.count(F.lit(1)).alias("shared"), damped.alias("damped"))
+    if labels is not None:
+        grouped = grouped.join(F.broadcast(own))  # one row
     weight = _lookup(scoring.weights, F.col("feature"))
-    return each.select("host", "feature", "shared", F.when(F.col("damped"), weight * NOISE_FACTOR).otherwise(weight).alias("weight")).filter("weight > 0")
+    return grouped.select("host", "feature", "shared", F.bround(F.when(F.col("damped") | cdn, weight * NOISE_FACTOR).otherwise(weight), 1).alias("weight")).filter("weight > 0")
 
 
 def level(score: Column, scoring: Scoring) -> Column:
@@ -54,14 +75,21 @@ def level(score: Column, scoring: Scoring) -> Column:
     return out.otherwise("Informational")
 
 
-def correlate(assets: DataFrame, edges: DataFrame, seeds: DataFrame, scoring: Scoring | None = None) -> DataFrame:
+def correlate(assets: DataFrame, edges: DataFrame, seeds: DataFrame, scoring: Scoring | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """host, score, level, features: every host that shares a feature with seeds(host), and the seeds at 100.
 
-    The score is the sum of weights, 100 at most, rounded half to even; features lists feature=weight by
-    falling weight and name.
+    profiles, as profile_evidence() takes them, add what hosts look like; a certificate or logo counts once,
+    first as a shared node. The score is the sum of weights, 100 at most, rounded half to even; features
+    lists feature=weight by falling weight and name.
     """
     scoring = scoring or Scoring()
-    found = evidence(host_features(assets, edges), seeds, noisy_nodes(edges, scoring.noisy_limit), scoring)
+    labels = assets.filter(F.col("type").isin("asn", "nameserver")).select(F.col("id").alias("node"), F.col("value").alias("label"))
+    found = evidence(host_features(assets, edges), seeds, noisy_nodes(edges, scoring.noisy_limit), scoring, labels).select("host", "feature", "weight", F.lit(0).alias("rank"))
+    if profiles is not None:
+        from threadloom.operators.profiles import profile_evidence
+
+        found = found.unionByName(profile_evidence(profiles, edges, seeds, scoring).withColumn("rank", F.lit(1)))
+        found = found.groupBy("host", "feature").agg(F.min_by("weight", "rank").alias("weight"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "feature")))
     scored = found.groupBy("host").agg(F.bround(F.least(F.sum("weight"), F.lit(100.0))).cast("int").alias("score"), ordered.alias("m"))
     listed = F.array_join(F.transform("m", lambda m: F.concat_ws("=", m["feature"], (-m["w"]).cast("decimal(6,2)").cast("string"))), ",")
@@ -80,19 +108,29 @@ def exact_pivot(prints: DataFrame, seeds: DataFrame, most: int = 200) -> DataFra
 
 
 def hamming_pairs(hashes: DataFrame, distance: int) -> DataFrame:
-    """a, b, bits: pairs of hashes(id, h) with a < b and at most distance differing bits of 64.
+    """a, b, bits: links of hashes(id, h) with at most distance differing bits of 64, a < b; every link between different hashes is there.
 
-    Of distance + 1 bands of bits, such a pair agrees in one at least, so an equi-join on bands loses none;
-    equal hashes meet once, and every pair is checked on all bits.
+    Equal hashes are settled first: each id is linked to the least of its hash, and that one stands for all.
+    Of distance + 1 bands of bits, two different hashes within distance agree in one at least, so an equi-join
+    on bands loses none; a pair is made at its first common band. distance is 7 at most, so that a band has
+    eight bits.
     """
+    if not 0 <= distance <= 7:
+        raise ValueError("distance lies between 0 and 7")
     bands = distance + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda i: F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i])
-    each = hashes.select("id", "h", F.posexplode(F.array(*(band(i) for i in range(bands)))).alias("band", "bits"))
+    band = lambda h, i: F.shiftrightunsigned(F.shiftleft(h, 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i])
+    least = hashes.groupBy("h").agg(F.min("id").alias("id"))
+    alike = hashes.join(least.withColumnRenamed("id", "a"), "h").filter("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("bits"))
+    each = least.select("id", "h", F.posexplode(F.array(*(band(F.col("h"), i) for i in range(bands)))).alias("band", "part"))
     x, y = each.alias("x"), each.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.id") < F.col("y.id")))
+    earlier = F.lit(False)
+    for i in range(bands - 1):
+        earlier = earlier | ((F.col("x.band") > i) & (band(F.col("x.h"), i) == band(F.col("y.h"), i)))
     far = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    return near.filter(far <= distance).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.cast("int").alias("bits")).distinct()
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id"))
+    near = x.join(y, same & (far <= distance) & ~earlier)
+    return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.cast("int").alias("bits")).unionByName(alike)
 
 
 def sign_hash(vector: Column) -> Column:
@@ -125,5 +163,3 @@ def merge_clusters(clusters: DataFrame) -> DataFrame:
     out = rooted.groupBy("root").agg(F.min_by("id", F.struct("created_at", "id")).alias("id"), F.min("created_at").alias("created_at"), F.array_sort(F.collect_set("m")).alias("members"))
     return out.select("id", "created_at", "members")
 
-
-EVIDENCE = T.StructType([T.StructField("feature", T.StringType()), T.StructField("members", T.LongType())])

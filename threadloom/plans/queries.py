@@ -85,7 +85,7 @@ WEIGHED = """, seeds AS (SELECT id AS host FROM assets WHERE is_root), wanted AS
   FROM features f JOIN wanted w ON f.feature = w.feature AND f.node = w.node LEFT JOIN noisy n ON f.node = n.node
   WHERE f.host NOT IN (SELECT host FROM seeds) GROUP BY f.host, f.feature
 ), weighed AS (
-  SELECT host, feature, shared, CASE feature WHEN 'analytics' THEN 40 WHEN 'pixel' THEN 40 WHEN 'tracking' THEN 30 WHEN 'favicon' THEN 30 WHEN 'certificate' THEN 25 WHEN 'logo' THEN 25 WHEN 'ip' THEN 10 ELSE 5 END * CASE WHEN damped THEN 0.25 ELSE 1.0 END AS weight FROM each
+  SELECT host, feature, shared, CASE feature WHEN 'analytics' THEN 40 WHEN 'pixel' THEN 40 WHEN 'tracking' THEN 30 WHEN 'favicon' THEN 30 WHEN 'certificate' THEN 25 WHEN 'logo' THEN 25 WHEN 'ip' THEN 10 ELSE 5 END * CASE WHEN damped AND feature NOT IN ('asn', 'hosting') THEN 0.25 ELSE 1.0 END AS weight FROM each
 )"""
 
 
@@ -228,13 +228,14 @@ def exact_pivot(spark: SparkSession, d: str) -> DataFrame:
     return correlation.exact_pivot(prints, _roots(spark, d))
 
 
-BITS = "(SELECT vec_id AS id, list_reduce(list_transform(embedding, lambda v: CASE WHEN v > 0 THEN '1' ELSE '0' END), lambda a, b: a || b) AS h FROM embeddings)"
+BITS = "(SELECT s_suppkey AS id, xor(s_suppkey % 9 * 123456789123456789, CAST(s_suppkey % 16 AS BIGINT)) AS h FROM supplier)"
 
 
-@query(f"SELECT x.id AS a, y.id AS b, hamming(x.h, y.h) AS bits FROM {BITS} x JOIN {BITS} y ON x.id < y.id WHERE hamming(x.h, y.h) <= 20", domain=False)
+@query(f"""SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.h, y.h)) AS INTEGER) AS bits FROM (SELECT h, min(id) AS id FROM {BITS} GROUP BY h) x
+JOIN (SELECT h, min(id) AS id FROM {BITS} GROUP BY h) y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 6
+UNION ALL SELECT a, id, 0 FROM (SELECT id, min(id) OVER (PARTITION BY h) AS a FROM {BITS}) WHERE a <> id""", domain=False)
 def similarity_pivot(spark: SparkSession, d: str) -> DataFrame:
-    hashes = driver.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), correlation.sign_hash(F.col("embedding")).alias("h"))
-    return correlation.hamming_pairs(hashes, 20)
+    return correlation.hamming_pairs(driver.profiles(spark, d).select(F.col("key").alias("id"), F.col("html").alias("h")), 6)
 
 
 @query("""SELECT x.b AS id, string_agg(DISTINCT ex.type, ',' ORDER BY ex.type) AS types_a, string_agg(DISTINCT ey.type, ',' ORDER BY ey.type) AS types_b

@@ -78,6 +78,17 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(edge_id(F.col("source"), F.col("type"), F.col("target")).alias("id"), "source", "type", "target", F.array(F.concat(F.lit("inv_"), F.col("inv"))).alias("investigation_ids"))
 
 
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts from supplier as page profiles: key, host, type, value, title (of a part), html (64-bit hash), screenshot, logo. A few are named below another host."""
+    k = F.col("s_suppkey")
+    value = F.when(k % 10 == 3, F.concat(F.lit("www."), _host(k - 2))).otherwise(_host(k))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s_suppkey"), F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    html = (k % 9 * F.lit(123456789123456789)).bitwiseXOR((k % 16).cast("long"))
+    none = F.lit(None).cast("long")
+    return read(spark, sf_dir, "supplier").join(part, "s_suppkey", "left").select(
+        k.alias("key"), node_id(F.lit("domain"), _host(k)).alias("host"), F.lit("domain").alias("type"), value.alias("value"), "title", html.alias("html"), F.when(k % 3 == 0, html).otherwise(none).alias("screenshot"), none.alias("logo"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as provider runs: provider, username, moment (epoch seconds), day, ok, latency, detail."""
     e = read(spark, sf_dir, "events")
