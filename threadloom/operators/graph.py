@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.components import components
 from threadloom.spark import materialise
 
+# How much an edge of a relation speaks for expanding its ends (any other: 2), and relations that do not.
+EXPANSION = {
+    "SHARES_ANALYTICS": 40, "SHARES_PIXEL": 40, "SHARES_TRACKING": 35, "SHARES_FAVICON": 30, "USES_CERTIFICATE": 25, "SHARES_CERTIFICATE": 25, "SHARES_LOGO": 25,
+    "SIMILAR_HTML": 20, "SIMILAR_SCREENSHOT": 20, "REDIRECTS_TO": 30, "SUBDOMAIN_OF": 15, "RESOLVES_TO": 8, "HISTORICAL_RESOLUTION": 6, "OBSERVED_WITH": 5,
+}
+NOT_EXPANDED = ("USES_MX", "CNAME_TO", "USES_NAMESERVER")
+
 
 def restrict(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges whose both ends are vertices."""
@@ -86,3 +95,35 @@ def operations(assets: DataFrame, edges: DataFrame, relations: tuple[str, ...],
     placed = found.join(hosts, found.node == hosts.id, "left_semi").select(F.col("node").alias("host"), "root")
     several = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("first")).filter("n > 1")
     return placed.join(several, "root").select("host", F.col("first").alias("root"), "n")
+
+
+def expansion_strength(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """id, strength: the sum of EXPANSION over the edges of every node but seeds(id). Relations in NOT_EXPANDED do not count."""
+    weight = F.coalesce(F.element_at(F.create_map(*map(F.lit, chain(*EXPANSION.items()))), F.col("type")), F.lit(2))
+    ends = edges.filter(~F.col("type").isin(*NOT_EXPANDED)).select(F.explode(F.array("source", "target")).alias("id"), weight.alias("w"))
+    return ends.join(seeds, "id", "left_anti").groupBy("id").agg(F.sum("w").alias("strength"))
+
+
+def view(assets: DataFrame, edges: DataFrame, hidden_types: tuple[str, ...] = (), hidden_relations: tuple[str, ...] = (), members: DataFrame | None = None, min_confidence: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of a view: without hidden types and relations, of hosts only members(id) and those of min_confidence or roots.
+
+    Edges stay if both ends do. Where hosts are chosen by membership or confidence, other nodes stay only with an edge.
+    """
+    host = F.col("type").isin("domain", "ip")
+    nodes = assets.filter(~F.col("type").isin(*hidden_types)) if hidden_types else assets
+    if members is not None:
+        nodes = nodes.join(members.select("id", F.lit(True).alias("is_member")), "id", "left").filter(~host | F.col("is_member")).drop("is_member")
+    if min_confidence is not None:
+        nodes = nodes.filter(~host | (F.coalesce("confidence", F.lit(0)) >= min_confidence) | F.coalesce("is_root", F.lit(False)))
+    kept = restrict(edges.filter(~F.col("type").isin(*hidden_relations)) if hidden_relations else edges, nodes)
+    if members is not None or min_confidence is not None:
+        met = kept.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        nodes = nodes.join(met.withColumn("met", F.lit(True)), "id", "left").filter(host | F.col("met")).drop("met")
+    return nodes, kept
+
+
+def neighbour_sets(edges: DataFrame) -> DataFrame:
+    """id, relation, other: each distinct neighbour of a node by relation; a relation that comes in is named in:relation."""
+    out = edges.select(F.col("source").alias("id"), F.col("type").alias("relation"), F.col("target").alias("other"))
+    into = edges.select(F.col("target").alias("id"), F.concat(F.lit("in:"), F.col("type")).alias("relation"), F.col("source").alias("other"))
+    return out.unionByName(into).distinct()

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import correlation, profiles
-from threadloom.plans.queries import WEIGHED, _assets, _edges, _roots, query
+from threadloom.config import Scoring
+from threadloom.operators import clusters, correlation, graph, profiles, report
+from threadloom.plans.queries import DISTINCT, GROUPED, WEIGHED, _assets, _graph, query
 from threadloom.sources import driver
+from threadloom.spark import materialise
 
 LOOKS = """, looks AS (
   SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24) AS host, CASE WHEN s_suppkey % 10 = 3 THEN 'www.supplier-' || (s_suppkey - 2) || '.example' ELSE 'supplier-' || s_suppkey || '.example' END AS value,
@@ -23,7 +25,9 @@ LOOKS = """, looks AS (
 
 @query(LOOKS + " SELECT host, feature, CAST(weight AS DOUBLE) AS weight FROM seen")
 def profile_features(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.profile_evidence(driver.profiles(spark, d), _edges(spark, d), _roots(spark, d))
+    a, e = _graph(spark, d)
+    looks = materialise(driver.profiles(spark, d), "profiles")
+    return profiles.profile_evidence(looks, e, a.filter("is_root").select(F.col("id").alias("host")))
 
 
 @query(WEIGHED + LOOKS + """, every AS (SELECT host, feature, CAST(weight AS DOUBLE) AS weight FROM weighed UNION ALL SELECT host, feature, weight FROM seen)
@@ -31,4 +35,133 @@ SELECT host, score, features, CASE WHEN score >= 90 THEN 'Very High' WHEN score
 FROM (SELECT host, CAST(round_even(least(sum(weight), 100), 0) AS INTEGER) AS score, string_agg(feature || '=' || CAST(CAST(weight AS DECIMAL(6,2)) AS VARCHAR), ',' ORDER BY weight DESC, feature) AS features FROM every GROUP BY host
       UNION ALL SELECT host, 100, '' FROM seeds) s""")
 def correlate_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return correlation.correlate(_assets(spark, d), _edges(spark, d), _roots(spark, d), profiles=driver.profiles(spark, d))
+    a, e = _graph(spark, d)
+    looks = materialise(driver.profiles(spark, d), "profiles")
+    return correlation.correlate(a, e, a.filter("is_root").select(F.col("id").alias("host")), profiles=looks)
+
+
+@query(GROUPED + """, near_prints AS (SELECT DISTINCT o.root, o.host, CASE e.type WHEN 'SHARES_FAVICON' THEN 'favicon' WHEN 'SHARES_ANALYTICS' THEN 'analytics' WHEN 'SHARES_PIXEL' THEN 'pixel' WHEN 'SHARES_TRACKING' THEN 'tracking' WHEN 'SHARES_LOGO' THEN 'logo' ELSE 'certificate' END AS feature, e.target AS node
+  FROM operations o JOIN edges e ON e.source = o.host WHERE e.type LIKE 'SHARES%' OR e.type = 'USES_CERTIFICATE'),
+carried AS (SELECT root, node FROM near_prints GROUP BY root, node HAVING count(DISTINCT host) > 1), had AS (SELECT DISTINCT p.root, host, feature FROM near_prints p JOIN carried c ON p.root = c.root AND p.node = c.node),
+summed AS (SELECT root, host, least(sum(CASE feature WHEN 'analytics' THEN 40 WHEN 'pixel' THEN 40 WHEN 'tracking' THEN 30 WHEN 'favicon' THEN 30 ELSE 25 END), 100) AS score FROM had GROUP BY root, host),
+deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id)
+SELECT o.root, count(*) AS members, CAST(round_even(avg(coalesce(score, 0)), 0) AS INTEGER) AS confidence, 'Operation around ' || arg_min(a.value, lpad(CAST(100000 - coalesce(degree, 0) AS VARCHAR), 6, '0') || a.value) AS name
+FROM operations o JOIN assets a ON o.host = a.id LEFT JOIN deg ON deg.id = o.host LEFT JOIN summed s ON s.root = o.root AND s.host = o.host GROUP BY o.root""")
+def rebuilt_clusters(spark: SparkSession, d: str) -> DataFrame:
+    a, e = _graph(spark, d)
+    return clusters.rebuilt(graph.operations(a, e, DISTINCT), a, e)
+
+
+@query(GROUPED + """, counted AS (SELECT root, coalesce(status, 'UNKNOWN') AS status, count(*) AS n FROM operations o JOIN assets a ON o.host = a.id GROUP BY ALL)
+SELECT root, status, n, row_number() OVER (PARTITION BY root ORDER BY n DESC, status) AS place FROM counted QUALIFY place <= 3""")
+def cluster_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    a, e = _graph(spark, d)
+    return clusters.breakdown(graph.operations(a, e, DISTINCT), a).filter("place <= 3")
+
+
+@query(GROUPED + " SELECT substr(sha256(host || '|MEMBER_OF_CLUSTER|' || substr(sha256('cluster|' || root), 1, 24)), 1, 24) AS id, host AS source, substr(sha256('cluster|' || root), 1, 24) AS target FROM operations")
+def cluster_edges(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.as_graph(graph.operations(*_graph(spark, d), DISTINCT))[1].select("id", "source", "target")
+
+
+CORRELATED = WEIGHED + """, scored AS (SELECT host, CAST(round_even(least(sum(weight), 100), 0) AS INTEGER) AS score FROM weighed GROUP BY host UNION ALL SELECT host, 100 FROM seeds),
+chosen AS (SELECT s.host, s.score FROM scored s JOIN assets a ON s.host = a.id WHERE score >= 30)"""
+LOW = Scoring(cluster_min=30)
+
+
+def _chosen(spark: SparkSession, d: str):
+    a, e = _graph(spark, d)
+    seeds = a.filter("is_root").select(F.col("id").alias("host"))
+    scores = materialise(correlation.correlate(a, e, seeds), "scores")
+    return a, e, seeds, clusters.members(scores, LOW)
+
+
+@query(CORRELATED + """ SELECT a.id, count(*) AS n FROM near JOIN chosen ON near.b = chosen.host JOIN assets a ON near.a = a.id WHERE a.type NOT IN ('url', 'cluster', 'domain') GROUP BY a.id, a.type HAVING count(*) >= 2 OR a.type = 'ip'""")
+def cluster_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    a, e, _, found = _chosen(spark, d)
+    return clusters.fingerprints(found, a, e)
+
+
+@query(CORRELATED + """ SELECT (SELECT count(*) FROM chosen) AS members, CAST(coalesce(round_even(median(score), 0), 30) AS INTEGER) AS confidence FROM chosen WHERE host NOT IN (SELECT host FROM seeds)""")
+def cluster_confidence(spark: SparkSession, d: str) -> DataFrame:
+    _, _, seeds, found = _chosen(spark, d)
+    return found.agg(F.count(F.lit(1)).alias("members")).join(clusters.confidence(found, seeds, LOW))
+
+
+@query(CORRELATED + " SELECT feature, count(DISTINCT host) AS members FROM weighed JOIN chosen USING (host) GROUP BY feature")
+def feature_frequency(spark: SparkSession, d: str) -> DataFrame:
+    a, e, seeds, found = _chosen(spark, d)
+    matches = correlation.evidence(correlation.host_features(a, e), seeds, correlation.noisy_nodes(e, LOW.noisy_limit), LOW)
+    return clusters.feature_frequency(matches, found)
+
+
+@query(CORRELATED + " SELECT a.value, score FROM chosen JOIN assets a ON chosen.host = a.id WHERE NOT a.is_root ORDER BY score DESC, a.value LIMIT 5")
+def top_correlated(spark: SparkSession, d: str) -> DataFrame:
+    a, _, seeds, found = _chosen(spark, d)
+    return found.join(seeds, "host", "left_anti").join(a.select(F.col("id").alias("host"), "value"), "host").orderBy(F.desc("score"), "value").limit(5).select("value", "score")
+
+
+@query("""SELECT k, feature, max(n) AS members FROM (SELECT s_suppkey % 5 AS k, feature, count(*) AS n, s_suppkey % 2 AS part FROM features f JOIN assets a ON f.host = a.id
+  JOIN supplier ON a.value = 'supplier-' || s_suppkey || '.example' GROUP BY ALL) GROUP BY k, feature""")
+def merged_evidence(spark: SparkSession, d: str) -> DataFrame:
+    a, e = _graph(spark, d)
+    keys = driver.profiles(spark, d).select("host", F.col("key"))
+    counts = correlation.host_features(a, e).join(keys, "host").groupBy((F.col("key") % 5).alias("k"), (F.col("key") % 2).alias("part"), "feature").agg(F.count(F.lit(1)).alias("members"))
+    counts = materialise(counts, "counts")
+    return clusters.merge_evidence(*(counts.filter(F.col("part") == p).drop("part") for p in (0, 1)), keys=("k",))
+
+
+REPORTED = ", reported AS (SELECT * FROM assets WHERE type IN ('domain', 'ip') AND coalesce(confidence, 0) >= 40 ORDER BY is_root DESC, coalesce(confidence, 0) DESC, coalesce(impersonation_score, 0) DESC, id LIMIT 60)"
+FIGURES = REPORTED + """, figures AS (SELECT 'by_type' AS section, type AS name, count(*) AS n FROM assets GROUP BY type
+  UNION ALL SELECT 'site_status', coalesce(status, 'UNKNOWN'), count(*) FROM assets WHERE type IN ('domain', 'ip') GROUP BY 2
+  UNION ALL SELECT 'confidence_levels', CASE WHEN confidence >= 90 THEN 'Very High' WHEN confidence >= 70 THEN 'High' WHEN confidence >= 50 THEN 'Medium' WHEN confidence >= 30 THEN 'Low' ELSE 'Informational' END, count(*) FROM reported WHERE confidence IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'total', 'assets', count(*) FROM assets UNION ALL SELECT 'total', 'high_confidence', count(*) FILTER (confidence >= 70) FROM reported UNION ALL SELECT 'total', 'max_impersonation', coalesce(max(impersonation_score), 0) FROM reported)"""
+
+
+@query(REPORTED + " SELECT id, value, confidence FROM reported")
+def report_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return report.hosts(_assets(spark, d), 40, 60).select("id", "value", "confidence")
+
+
+@query("SELECT type, count(*) AS n FROM assets WHERE type NOT IN ('domain', 'ip', 'cluster') GROUP BY type ORDER BY n DESC, type")
+def report_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return report.fingerprints(_assets(spark, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
+
+
+@query(FIGURES + " SELECT section, name, n FROM figures")
+def report_stats(spark: SparkSession, d: str) -> DataFrame:
+    a = materialise(_assets(spark, d), "assets")
+    return report.stats(a, report.hosts(a, 40, 60))
+
+
+@query(FIGURES + """, f AS (SELECT coalesce(sum(n) FILTER (section = 'total' AND name = 'assets'), 0) AS a, coalesce(sum(n) FILTER (section = 'by_type' AND name = 'domain'), 0) AS d, coalesce(sum(n) FILTER (section = 'by_type' AND name = 'ip'), 0) AS i,
+  coalesce(sum(n) FILTER (section = 'by_type' AND name = 'certificate'), 0) AS c, coalesce(sum(n) FILTER (section = 'by_type' AND name IN ('analytics', 'pixel', 'tracking')), 0) AS t, coalesce(sum(n) FILTER (section = 'by_type' AND name = 'favicon'), 0) AS v,
+  coalesce(sum(n) FILTER (section = 'confidence_levels' AND name IN ('Very High', 'High')), 0) AS s, coalesce(sum(n) FILTER (section = 'site_status' AND name = 'ACTIVE'), 0) AS l FROM figures)
+SELECT 0 AS line, a || ' related assets were identified: ' || d || ' domains, ' || i || ' IP addresses, ' || c || ' certificates, ' || t || ' analytics/tracking IDs and ' || v || ' favicons.' AS text FROM f
+UNION ALL SELECT 1, s || ' asset(s) are attributed to the same operation with High or Very High confidence.' FROM f WHERE s > 0
+UNION ALL SELECT 2, l || ' host(s) were ACTIVE at collection time and may warrant takedown or blocking.' FROM f WHERE l > 0""")
+def report_summary(spark: SparkSession, d: str) -> DataFrame:
+    a = materialise(_assets(spark, d), "assets")
+    return report.summary(report.stats(a, report.hosts(a, 40, 60)))
+
+
+VIEWED = """, shown AS (SELECT * FROM assets WHERE type <> 'hosting' AND (type NOT IN ('domain', 'ip') OR coalesce(confidence, 0) >= 50 OR is_root)),
+lines AS (SELECT * FROM edges WHERE type <> 'SHARES_LOGO' AND source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown))"""
+
+
+@query(VIEWED + " SELECT id, type FROM shown WHERE type IN ('domain', 'ip') OR id IN (SELECT source FROM lines UNION SELECT target FROM lines)")
+def view_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.view(*_graph(spark, d), ("hosting",), ("SHARES_LOGO",), min_confidence=50)[0].select("id", "type")
+
+
+@query(VIEWED + " SELECT id, type FROM lines")
+def view_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.view(*_graph(spark, d), ("hosting",), ("SHARES_LOGO",), min_confidence=50)[1].select("id", "type")
+
+
+@query(""" SELECT id, relation, count(DISTINCT other) AS n, min(coalesce(v, other)) AS least FROM (SELECT source AS id, type AS relation, target AS other FROM edges UNION ALL SELECT target, 'in:' || type, source FROM edges) x
+LEFT JOIN (SELECT id AS o, value AS v FROM assets WHERE type <> 'asn') ON o = other GROUP BY ALL""")
+def neighbour_sets(spark: SparkSession, d: str) -> DataFrame:
+    a, e = _graph(spark, d)
+    names = a.filter("type <> 'asn'").select(F.col("id").alias("other"), "value")
+    return graph.neighbour_sets(e).join(names, "other", "left").groupBy("id", "relation").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("value", "other")).alias("least"))

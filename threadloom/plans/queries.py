@@ -11,6 +11,7 @@ from threadloom.functions import pages as P
 from threadloom.functions import text as X
 from threadloom.operators import catalog, correlation, graph, history, store
 from threadloom.sources import driver
+from threadloom.spark import materialise
 from threadloom.streaming import events
 
 QUERIES = {}
@@ -36,7 +37,7 @@ WITH RECURSIVE prints AS (
   SELECT substr(sha256(type || '|' || value), 1, 24) AS id, * FROM bare
 ), links AS (
   SELECT substr(sha256('domain|supplier-' || l_suppkey || '.example'), 1, 24) AS source, relation AS type, substr(sha256(p.type || '|part-' || p_partkey), 1, 24) AS target, 'inv_' || (l_suppkey % 7) AS inv
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) l JOIN prints p ON l_partkey = p_partkey
+  FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS n FROM lineitem GROUP BY l_suppkey, l_partkey) l JOIN prints p ON l_partkey = p_partkey AND n <= 3
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'RESOLVES_TO', substr(sha256('ip|10.0.0.' || CAST(floor(abs(s_acctbal) / 500) AS BIGINT)), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'BELONGS_TO_ASN', substr(sha256('asn|AS' || s_nationkey), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'HOSTED_ON', substr(sha256('hosting|region-' || n_regionkey), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -70,6 +71,11 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return driver.relationships(spark, d)
 
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assets and edges, written once for a query that uses them several times, so that each table is read once."""
+    return materialise(_assets(spark, d), "assets"), materialise(_edges(spark, d), "relationships")
+
+
 def _joined(c: str):
     return F.array_join(F.array_sort(c), ",").alias(c)
 
@@ -94,7 +100,8 @@ SELECT host, score, features, CASE WHEN score >= 90 THEN 'Very High' WHEN score
 FROM (SELECT host, CAST(round_even(least(sum(weight), 100), 0) AS INTEGER) AS score, string_agg(feature || '=' || CAST(CAST(weight AS DECIMAL(6,2)) AS VARCHAR), ',' ORDER BY weight DESC, feature) AS features FROM weighed GROUP BY host
       UNION ALL SELECT host, 100, '' FROM seeds) s""")
 def correlate_hosts(spark: SparkSession, d: str) -> DataFrame:
-    return correlation.correlate(_assets(spark, d), _edges(spark, d), _roots(spark, d))
+    a, e = _graph(spark, d)
+    return correlation.correlate(a, e, a.filter("is_root").select(F.col("id").alias("host")))
 
 
 @query("SELECT host, feature, count(*) AS n FROM features GROUP BY host, feature")
@@ -139,9 +146,9 @@ def edges_touching(spark: SparkSession, d: str) -> DataFrame:
   SELECT source AS id, 'out' AS direction, type, target AS other FROM edges UNION ALL SELECT target, 'in', type, source FROM edges) n
   JOIN assets a ON n.other = a.id WHERE n.id IN (SELECT id FROM assets WHERE is_root OR value = 'AS1')""")
 def asset_detail(spark: SparkSession, d: str) -> DataFrame:
-    a = _assets(spark, d)
+    a, e = _graph(spark, d)
     ids = a.filter("is_root OR value = 'AS1'").select("id")
-    return catalog.neighbours(a, _edges(spark, d), ids).select("id", "direction", "type", "other_value")
+    return catalog.neighbours(a, e, ids).select("id", "direction", "type", "other_value")
 
 
 @query("SELECT type, count(*) AS n FROM assets GROUP BY type")
@@ -224,8 +231,9 @@ def best_confidence(spark: SparkSession, d: str) -> DataFrame:
 JOIN (SELECT feature, node FROM features GROUP BY feature, node HAVING count(DISTINCT host) BETWEEN 2 AND 200) t ON s.feature = t.feature AND s.node = t.node
 JOIN features p ON p.feature = s.feature AND p.node = s.node WHERE s.host IN (SELECT id FROM assets WHERE is_root) AND p.host <> s.host""")
 def exact_pivot(spark: SparkSession, d: str) -> DataFrame:
-    prints = correlation.host_features(_assets(spark, d), _edges(spark, d)).withColumnsRenamed({"feature": "field", "node": "value"})
-    return correlation.exact_pivot(prints, _roots(spark, d))
+    a, e = _graph(spark, d)
+    prints = materialise(correlation.host_features(a, e).withColumnsRenamed({"feature": "field", "node": "value"}), "prints")
+    return correlation.exact_pivot(prints, a.filter("is_root").select(F.col("id").alias("host")))
 
 
 BITS = "(SELECT s_suppkey AS id, xor(s_suppkey % 9 * 123456789123456789, CAST(s_suppkey % 16 AS BIGINT)) AS h FROM supplier)"
@@ -283,7 +291,7 @@ operations AS (SELECT host, min(host) OVER (PARTITION BY c) AS root, count(*) OV
 
 @query(GROUPED + " SELECT host, root, n FROM operations")
 def operations(spark: SparkSession, d: str) -> DataFrame:
-    return graph.operations(_assets(spark, d), _edges(spark, d), DISTINCT)
+    return graph.operations(*_graph(spark, d), DISTINCT)
 
 
 @query(GROUPED + """, m AS (SELECT o.root, a.status = 'ACTIVE' AS live, coalesce(a.confidence, 0) AS confidence, coalesce(a.impersonation_score, 0) AS imp FROM operations o JOIN assets a ON o.host = a.id)
@@ -291,16 +299,15 @@ SELECT root, count(*) AS members, count(*) FILTER (live) AS active, CAST(round_e
   CASE WHEN count(*) FILTER (live AND imp >= 80) > 0 THEN 'critical' WHEN count(*) FILTER (live AND imp >= 60) > 0 OR count(*) FILTER (imp >= 80) > 0 THEN 'high'
        WHEN count(*) FILTER (imp >= 30) > 0 OR count(*) FILTER (live) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM m GROUP BY root""")
 def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = _assets(spark, d)
-    return correlation.summarise(graph.operations(a, _edges(spark, d), DISTINCT), a)
+    a, e = _graph(spark, d)
+    return correlation.summarise(graph.operations(a, e, DISTINCT), a)
 
 
-@query(""", strength AS (SELECT type, CASE WHEN type LIKE 'SHARES%' THEN 5 WHEN type = 'RESOLVES_TO' THEN 3 ELSE 2 END AS w FROM (SELECT DISTINCT type FROM edges))
-SELECT source AS host, sum(w) AS strength FROM edges JOIN strength USING (type) WHERE source NOT IN (SELECT id FROM assets WHERE is_root) GROUP BY source ORDER BY strength DESC, host LIMIT 25""")
+@query(""", strength AS (SELECT type, CASE type WHEN 'SHARES_ANALYTICS' THEN 40 WHEN 'SHARES_PIXEL' THEN 40 WHEN 'SHARES_TRACKING' THEN 35 WHEN 'SHARES_FAVICON' THEN 30 WHEN 'USES_CERTIFICATE' THEN 25 WHEN 'SHARES_LOGO' THEN 25 WHEN 'RESOLVES_TO' THEN 8 ELSE 2 END AS w FROM (SELECT DISTINCT type FROM edges))
+SELECT id, sum(w) AS strength FROM (SELECT source AS id, type FROM edges UNION ALL SELECT target, type FROM edges) JOIN strength USING (type) WHERE id NOT IN (SELECT id FROM assets WHERE is_root) GROUP BY id ORDER BY strength DESC, id LIMIT 25""")
 def expansion_candidates(spark: SparkSession, d: str) -> DataFrame:
-    w = F.when(F.col("type").startswith("SHARES"), 5).when(F.col("type") == "RESOLVES_TO", 3).otherwise(2)
-    edges = _edges(spark, d).withColumnRenamed("source", "host").join(_roots(spark, d), "host", "left_anti")
-    return edges.groupBy("host").agg(F.sum(w).alias("strength")).orderBy(F.desc("strength"), "host").limit(25)
+    found = graph.expansion_strength(_edges(spark, d), _assets(spark, d).filter("is_root").select("id"))
+    return found.orderBy(F.desc("strength"), "id").limit(25)
 
 
 @query("""SELECT page_id, title, regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', ' ', 'g').trim() AS normal FROM (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages)""", domain=False)
