@@ -39,10 +39,10 @@ def test_graph(spark, world):
     assert graph.density(assets, e).first().n == 10 and graph.shared_neighbours(e, "s", "t").count() == 3
 
 
-def test_hamming_pairs(spark):
+def test_hamming_links(spark):
     rows = [(1, 0), (2, 0b111), (3, -1), (4, -1 << 3), (5, 0)]
-    got = {(r.a, r.b, r.bits) for r in correlation.hamming_pairs(spark.createDataFrame(rows, "id long, h long"), 3).collect()}
-    assert got == {(1, 2, 3), (1, 5, 0), (2, 5, 3), (3, 4, 3)}
+    got = {(r.a, r.b, r.bits) for r in correlation.hamming_links(spark.createDataFrame(rows, "id long, h long"), 3).collect()}
+    assert got == {(1, 2, 3), (1, 5, 0), (3, 4, 3)}  # 5 is linked to 1, which stands for both
 
 
 def test_clusters_merge(spark):

@@ -68,3 +68,43 @@ def neighbours(assets: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame
 def missing(ids: DataFrame, assets: DataFrame) -> DataFrame:
     """Those of ids(id) that no asset has; a link is valid if this is empty."""
     return ids.join(assets, "id", "left_anti")
+
+
+def by_id(df: DataFrame, *ids: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with these ids, with the given columns or all."""
+    out = df.filter(F.col("id").isin(*ids))
+    return out.select(*columns) if columns else out
+
+
+def first_match(df: DataFrame, condition: Column, order: str = "id") -> DataFrame:
+    """The row that meets the condition and is first by order; none if no row does."""
+    return df.filter(condition).orderBy(order).limit(1)
+
+
+def matching(df: DataFrame, condition: Column) -> DataFrame:
+    """n: how many rows meet the condition. One row."""
+    return df.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("n"))
+
+
+def not_empty(column: str) -> Column:
+    return F.size(F.coalesce(F.col(column), F.array())) > 0
+
+
+def any_known(*columns: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
+
+
+def none_of(column: str, *values: str) -> Column:
+    """Without these values; null passes."""
+    return ~F.coalesce(F.col(column).isin(*values), F.lit(False))
+
+
+def case_scope(assets: DataFrame, edges: DataFrame, case: DataFrame, clusters: DataFrame) -> DataFrame:
+    """id: assets of case(kind, ref): named as asset, or member in clusters(cluster, host) of one named as cluster, or found by an investigation named there.
+
+    Each asset once; what is named but does not exist is left out.
+    """
+    named = case.filter("kind = 'asset'").select(F.col("ref").alias("id"))
+    grouped = clusters.join(case.filter("kind = 'cluster'").select(F.col("ref").alias("cluster")), "cluster", "left_semi").select(F.col("host").alias("id"))
+    found = assets.select("id", F.explode("investigation_ids").alias("ref")).join(case.filter("kind = 'investigation'").select("ref"), "ref", "left_semi").select("id")
+    return assets.select("id").join(named.unionByName(grouped).unionByName(found).distinct(), "id", "left_semi")

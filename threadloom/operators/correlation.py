@@ -107,7 +107,7 @@ def exact_pivot(prints: DataFrame, seeds: DataFrame, most: int = 200) -> DataFra
     return mine.join(prints, ["field", "value"]).filter("seed <> host").select("seed", "host", "field", "value").distinct()
 
 
-def hamming_pairs(hashes: DataFrame, distance: int) -> DataFrame:
+def hamming_links(hashes: DataFrame, distance: int) -> DataFrame:
     """a, b, bits: links of hashes(id, h) with at most distance differing bits of 64, a < b; every link between different hashes is there.
 
     Equal hashes are settled first: each id is linked to the least of its hash, and that one stands for all.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.config import Scoring
 from threadloom.functions import text as X
 from threadloom.operators import graph
-from threadloom.operators.correlation import hamming_pairs
+from threadloom.operators.correlation import hamming_links
 
 # Titles that tell nothing, as normalize_title() leaves them.
 GENERIC_TITLES = (
@@ -25,7 +25,7 @@ def similar_hashes(profiles: DataFrame, seeds: DataFrame, column: str, least: fl
     known = profiles.filter(F.col(column).isNotNull()).select("host", F.col(column).alias("h"))
     wanted = known.join(seeds, "host", "left_semi").select("h").distinct()
     each = known.select("h").distinct().withColumn("id", F.col("h"))
-    close = hamming_pairs(each, math.floor(64 * (1 - least) + 1e-9)).select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("g")), F.struct(F.col("b").alias("h"), F.col("a").alias("g")))).alias("p")).select("p.*")
+    close = hamming_links(each, math.floor(64 * (1 - least) + 1e-9)).select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("g")), F.struct(F.col("b").alias("h"), F.col("a").alias("g")))).alias("p")).select("p.*")
     met = close.join(wanted.withColumnRenamed("h", "g"), "g", "left_semi").select("h").unionByName(wanted).distinct()
     return known.join(met, "h", "left_semi").join(seeds, "host", "left_anti").select("host")
 
@@ -88,3 +88,12 @@ def profile_evidence(profiles: DataFrame, edges: DataFrame, seeds: DataFrame, sc
     for name, w in scoring.weights.items():
         weight = F.when(F.col("feature") == name, F.lit(float(w))).otherwise(weight)
     return out.select("host", "feature", F.bround(weight * F.col("similarity"), 1).alias("weight")).filter("weight > 0")
+
+
+def page_matches(profiles: DataFrame, uploaded: DataFrame, least: float = 0.90) -> DataFrame:
+    """host, via: hosts of profiles that match any of uploaded(host): by an equal normalised title of three characters or more, else by page structure."""
+    named = profiles.select("host", X.title_hash(F.col("title")).alias("t")).filter(F.col("t").isNotNull())
+    titles = named.join(uploaded, "host", "left_semi").select("t").distinct()
+    by_title = named.join(uploaded, "host", "left_anti").join(titles, "t", "left_semi").select("host", F.lit("title").alias("via"), F.lit(0).alias("rank"))
+    by_html = similar_hashes(profiles, uploaded, "html", least).select("host", F.lit("structure").alias("via"), F.lit(1).alias("rank"))
+    return by_title.unionByName(by_html).groupBy("host").agg(F.min_by("via", "rank").alias("via"))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.config import Scoring
-from threadloom.operators import clusters, correlation, graph, profiles, report
-from threadloom.plans.queries import DISTINCT, GROUPED, WEIGHED, _assets, _graph, query
-from threadloom.sources import driver
+from threadloom.functions import brand
+from threadloom.functions import text as X
+from threadloom.operators import catalog, clusters, correlation, graph, history, profiles, report
+from threadloom.plans.queries import DISTINCT, GROUPED, WEIGHED, _assets, _graph, _id, query
+from threadloom.sources import driver, providers
 from threadloom.spark import materialise
 
 LOOKS = """, looks AS (
@@ -165,3 +167,117 @@ def neighbour_sets(spark: SparkSession, d: str) -> DataFrame:
     a, e = _graph(spark, d)
     names = a.filter("type <> 'asn'").select(F.col("id").alias("other"), "value")
     return graph.neighbour_sets(e).join(names, "other", "left").groupBy("id", "relation").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("value", "other")).alias("least"))
+
+
+@query("""SELECT id, contains(value, 'supplier-1') AS holds, starts_with(value, 'part-') AS begins, len(investigation_ids) > 0 AS found, status IS NOT NULL OR confidence IS NOT NULL AS known,
+  coalesce(status NOT IN ('ACTIVE', 'PARKED'), true) AS other, contains(lower(value), 'us') OR contains(lower(type), 'us') OR len(list_filter(sources, lambda x: contains(lower(x), 'us'))) > 0 AS met,
+  CASE WHEN starts_with(value, 'AS') THEN 'asset' ELSE 'asset' END AS kind FROM assets""")
+def asset_filters(spark: SparkSession, d: str) -> DataFrame:
+    a = _assets(spark, d)
+    met = catalog.search(a, "us", ("value", "type", "sources")).select("id", F.lit(True).alias("met"))
+    flags = a.select("id", F.contains("value", F.lower(F.trim(F.lit(" Supplier-1 ")))).alias("holds"), F.col("value").startswith("part-").alias("begins"), catalog.not_empty("investigation_ids").alias("found"),
+        catalog.any_known("status", "confidence").alias("known"), catalog.none_of("status", "ACTIVE", "PARKED").alias("other"), X.kind_of_id(F.col("value")).alias("kind"))
+    return flags.join(met, "id", "left").withColumn("met", F.coalesce("met", F.lit(False)))
+
+
+@query("""SELECT 'one' AS asked, value, 1 AS n FROM assets WHERE id = substr(sha256('asn|AS3'), 1, 24) UNION ALL SELECT * FROM (SELECT 'first', value, 1 FROM assets WHERE type = 'ip' ORDER BY value LIMIT 1)
+UNION ALL SELECT 'count', NULL, count(*) FILTER (status = 'ACTIVE') FROM assets""")
+def asset_lookups(spark: SparkSession, d: str) -> DataFrame:
+    a = _assets(spark, d)
+    one = catalog.by_id(a, _id("asn", "AS3"), columns=("value",)).select(F.lit("one").alias("asked"), "value", F.lit(1).cast("long").alias("n"))
+    first = catalog.first_match(a, F.col("type") == "ip", "value").select(F.lit("first").alias("asked"), "value", F.lit(1).cast("long").alias("n"))
+    return one.unionByName(first).unionByName(catalog.matching(a, F.col("status") == "ACTIVE").select(F.lit("count").alias("asked"), F.lit(None).cast("string").alias("value"), "n"))
+
+
+@query("SELECT id, type FROM assets ORDER BY confidence DESC NULLS LAST, last_seen DESC, id LIMIT 20")
+def ranked_assets(spark: SparkSession, d: str) -> DataFrame:
+    return _assets(spark, d).orderBy(F.desc_nulls_last("confidence"), F.desc("last_seen"), "id").limit(20).select("id", "type")
+
+
+@query(GROUPED + """, wanted AS (SELECT min(root) AS root FROM operations)
+SELECT DISTINCT id FROM assets WHERE value IN ('AS1', 'region-2') OR id IN (SELECT host FROM operations JOIN wanted USING (root)) OR list_contains(investigation_ids, 'inv_3')""")
+def case_scope(spark: SparkSession, d: str) -> DataFrame:
+    a, e = _graph(spark, d)
+    grouped = materialise(graph.operations(a, e, DISTINCT).select(F.col("root").alias("cluster"), "host"), "grouped")
+    fixed = [("asset", _id("asn", "AS1")), ("asset", _id("hosting", "region-2")), ("asset", "nothing"), ("investigation", "inv_3")]
+    named = spark.createDataFrame(fixed, "kind string, ref string").unionByName(grouped.agg(F.min("cluster").alias("ref")).select(F.lit("cluster").alias("kind"), "ref"))
+    return catalog.case_scope(a, e, named, grouped)
+
+
+STATES = "(SELECT event_id, user_id AS investigation, event_type AS stage, ts, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 3 = 0 THEN 'running' ELSE 'completed' END AS status, CAST(floor(value) AS INTEGER) - 5 AS progress FROM events)"
+LATEST = f"""(SELECT investigation, stage, status, CASE WHEN status = 'completed' THEN 100 ELSE greatest(0, least(100, progress)) END AS progress, runs
+FROM (SELECT *, row_number() OVER (PARTITION BY investigation, stage ORDER BY floor(epoch(ts)) DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY investigation, stage) AS runs FROM {STATES}) WHERE r = 1)"""
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    e = driver.read(spark, d, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 3 == 0, "running").otherwise("completed")
+    return history.stage_states(e.select("event_id", F.col("user_id").alias("investigation"), F.col("event_type").alias("stage"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("moment"), status.alias("status"), (F.floor("value").cast("int") - 5).alias("progress")))
+
+
+@query(f"SELECT investigation, stage, status, progress, runs FROM {LATEST}", domain=False)
+def stage_states(spark: SparkSession, d: str) -> DataFrame:
+    return _states(spark, d)
+
+
+@query(f"""SELECT investigation, CASE WHEN bool_or(stage = 'signup' AND status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' ELSE 'completed' END AS status, CAST(floor(avg(progress) + 0.5) AS INTEGER) AS progress FROM {LATEST} GROUP BY investigation""", domain=False)
+def overall_status(spark: SparkSession, d: str) -> DataFrame:
+    return history.overall_status(_states(spark, d), "signup")
+
+
+@query("""SELECT provider, username AS key, max(moment) AS put_at FROM runs WHERE moment + detail * 86400 > 1704931200 GROUP BY provider, username""")
+def cache_entries(spark: SparkSession, d: str) -> DataFrame:
+    cache = driver.runs(spark, d).select("provider", F.col("username").alias("key"), F.col("moment").alias("put_at"), (F.col("moment") + F.col("detail") * 86400).alias("expires_at"), F.col("event_id").alias("value"))
+    return history.unexpired(cache, 1704931200).select("provider", "key", "put_at")
+
+
+@query("""SELECT provider AS route, CASE WHEN ok THEN 200 ELSE 500 END AS status, count(*) AS n, round(sum(latency), 2) AS latency_sum FROM runs GROUP BY ALL""")
+def route_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return driver.runs(spark, d).groupBy(F.col("provider").alias("route"), F.when(F.col("ok"), 200).otherwise(500).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("latency"), 2).alias("latency_sum"))
+
+
+@query("""SELECT host, array_to_string(list_sort(list_distinct(list(v) FILTER (t IN ('A', 'AAAA')))), ',') AS ips, array_to_string(list_sort(list_distinct(list(v) FILTER (t = 'NS'))), ',') AS ns, bool_or(t = 'MX') AS has_mail FROM (
+  SELECT s_suppkey AS host, 'A' AS t, '10.0.0.' || CAST(floor(abs(s_acctbal) / 500) AS BIGINT) AS v FROM supplier UNION ALL SELECT s_suppkey, 'NS', 'ns' || (s_nationkey % 2) || '.dns.example' FROM supplier
+  UNION ALL SELECT s_suppkey, 'NS', 'ns' || s_nationkey || '.dns.example' FROM supplier UNION ALL SELECT s_suppkey, 'AAAA', 'fd00::' || s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 'MX', 'mx.example' FROM supplier WHERE s_suppkey % 4 = 0) GROUP BY host""", domain=False)
+def dns_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = driver.read(spark, d, "supplier")
+    of = lambda kind, value, when=F.lit(True): s.filter(when).select(F.col("s_suppkey").alias("host"), F.lit(kind).alias("rtype"), value.alias("value"))
+    nation = F.col("s_nationkey")
+    records = of("A", F.concat(F.lit("10.0.0."), F.floor(F.abs("s_acctbal") / 500))).unionByName(of("NS", F.concat(F.lit("NS"), nation % 2, F.lit(".dns.example.")))).unionByName(of("NS", F.concat(F.lit("ns"), nation, F.lit(".dns.example"))))
+    records = records.unionByName(of("AAAA", F.concat(F.lit("fd00::"), nation))).unionByName(of("MX", F.lit("mx.example."), F.col("s_suppkey") % 4 == 0))
+    return providers.dns_summary(records).select("host", F.array_join("ips", ",").alias("ips"), F.array_join("ns", ",").alias("ns"), "has_mail")
+
+
+@query("""SELECT c_custkey, CASE WHEN length(c_name) > 14 THEN substr(c_name, 1, 11) || '...' ELSE c_name END AS label, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS ago,
+  c_mktsegment AS hosting, '4.3.2.' || (c_custkey % 250) AS reversed, '&lt;' || c_name || '&gt;' AS escaped, '"' || c_name || '"' AS quoted, '2024-01-0' || (c_custkey % 9 + 1) || 'T10:20:30Z' AS taken, c_name AS issuer, c_custkey % 3 = 0 AS internal, CASE WHEN c_custkey % 2 = 0 THEN 'b' || c_custkey || '.co.uk' ELSE 'b' || c_custkey || '.com' END AS registered
+FROM (SELECT *, CAST(c_custkey AS BIGINT) * 97 AS s FROM customer)""", domain=False)
+def text_columns(spark: SparkSession, d: str) -> DataFrame:
+    k, name = F.col("c_custkey"), F.col("c_name")
+    host = F.when(k % 3 == 0, F.lit("a.internal")).otherwise(F.lit("8.8.8.8"))
+    site = F.when(k % 2 == 0, F.concat(F.lit("www.b"), k, F.lit(".CO.UK"))).otherwise(F.concat(F.lit("x.y.b"), k, F.lit(".com")))
+    return driver.read(spark, d, "customer").select("c_custkey", X.label(name, 14).alias("label"), X.time_ago(k.cast("long") * 97).alias("ago"), X.hosting_name(F.concat(F.lit("AS7 - "), "c_mktsegment", F.lit(", US"))).alias("hosting"),
+        X.reversed_octets(F.concat((k % 250).cast("string"), F.lit(".2.3.4"))).alias("reversed"), X.html_escaped(F.concat(F.lit("<"), name, F.lit(">"))).alias("escaped"), X.quoted(name).alias("quoted"),
+        X.snapshot_time(F.concat(F.lit("2024010"), k % 9 + 1, F.lit("102030"))).alias("taken"), X.short_issuer(F.concat(F.lit("C=US, O="), name, F.lit(", CN=x"))).alias("issuer"), X.internal_host(host).alias("internal"), X.registered_domain(site).alias("registered"))
+
+
+LEETED = "replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, 'rn', 'm'), 'vv', 'w'), 'cl', 'd'), '0', 'o'), '1', 'l'), '3', 'e'), '4', 'a'), '5', 's'), '7', 't'), '8', 'b'), '9', 'g'), '@', 'a'), '$', 's')"
+SKELETON = "regexp_replace(" + LEETED + ", '[^a-z]', '', 'g')"
+
+
+@query(f"""SELECT p_partkey, least(100, dom + con) AS similarity, CAST(round_even(least(99, least(100, dom + con) * 0.5 + harvest + kw + CASE WHEN in_title AND NOT in_domain THEN 10 ELSE 0 END) * 1.0, 0) AS INTEGER) AS impersonation FROM (
+  SELECT p_partkey, CASE WHEN in_domain OR looks THEN 40 ELSE 0 END AS dom, CASE WHEN in_title THEN 20 ELSE 0 END + least(15, 3 * n) AS con, CASE WHEN p_partkey % 2 = 0 THEN 25 ELSE 0 END AS harvest, least(15, CASE WHEN p_partkey % 3 = 0 THEN 5 ELSE 0 END) + 3 * CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS kw, in_title, in_domain FROM (
+    SELECT *, contains(replace(label, '-', ''), 'paypal') AS in_domain, contains({SKELETON.format("label")}, 'paypal') AS looks, p_partkey % 5 = 0 AS in_title, (p_partkey % 4) AS n FROM (
+      SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'paypa1-login' WHEN 1 THEN 'pay-pal' ELSE 'zzz' END || p_partkey AS label FROM part)))""", domain=False)
+def brand_scores(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    host = F.concat(F.when(k % 3 == 0, "paypa1-login").when(k % 3 == 1, "pay-pal").otherwise("zzz"), k, F.lit(".com"))
+    title, text = F.when(k % 5 == 0, "PayPal login").otherwise("Shop"), F.repeat(F.lit("paypal "), (k % 4).cast("int"))
+    no, zero = F.lit(False), F.lit(0)
+    found = brand.assess(host, F.lit("The PayPal Inc"), title, text, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0.0), k % 2 == 0, F.when(k % 2 == 0, 1).otherwise(0), zero, no, no, F.lit(True), no)
+    return driver.read(spark, d, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.similarity", "f.impersonation")
+
+
+@query(LOOKS + """SELECT host, CASE WHEN t THEN 'title' ELSE 'structure' END AS via FROM (SELECT o.host, bool_or(o.title = r.title) AS t, bool_or(bit_count(xor(o.html, r.html)) <= 6) AS h FROM others o JOIN roots r ON true GROUP BY o.host) WHERE t OR h""")
+def page_matches(spark: SparkSession, d: str) -> DataFrame:
+    looks = materialise(driver.profiles(spark, d), "profiles")
+    return profiles.page_matches(looks, _assets(spark, d).filter("is_root").select(F.col("id").alias("host")))

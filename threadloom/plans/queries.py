@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,10 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return materialise(_assets(spark, d), "assets"), materialise(_edges(spark, d), "relationships")
 
 
+def _id(kind: str, value: str) -> str:
+    return hashlib.sha256(f"{kind}|{value}".encode()).hexdigest()[:24]
+
+
 def _joined(c: str):
     return F.array_join(F.array_sort(c), ",").alias(c)
 
@@ -133,8 +139,7 @@ def assets_of_investigation(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT host FROM features WHERE feature = 'asn' AND node = substr(sha256('asn|AS3'), 1, 24)")
 def hosts_by_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     prints = correlation.host_features(_assets(spark, d), _edges(spark, d)).withColumnsRenamed({"feature": "field", "node": "value"})
-    node = spark.range(1).select(X.node_id(F.lit("asn"), F.lit("AS3")).alias("v")).first().v
-    return catalog.by_fingerprint(prints, "asn", node).select("host")
+    return catalog.by_fingerprint(prints, "asn", _id("asn", "AS3")).select("host")
 
 
 @query("SELECT id, type FROM edges WHERE source IN (SELECT id FROM assets WHERE is_root) OR target IN (SELECT id FROM assets WHERE is_root)")
@@ -206,8 +211,9 @@ def daily_limit(spark: SparkSession, d: str) -> DataFrame:
     return history.within_daily_limit(driver.runs(spark, d), 40).select("event_id", "allowed")
 
 
-@query("""SELECT event_id, coalesce(sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY username ORDER BY moment RANGE BETWEEN 9000 PRECEDING AND CURRENT ROW), 0) AS recent,
-  coalesce(sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY username ORDER BY moment RANGE BETWEEN 9000 PRECEDING AND CURRENT ROW), 0) >= 2 AS locked FROM runs""")
+@query("""SELECT event_id, coalesce(sum(CAST(NOT ok AS INTEGER)) OVER w, 0) AS recent, coalesce(sum(CAST(NOT ok AS INTEGER)) OVER w, 0) >= 2 AS locked
+FROM (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY username ORDER BY moment, event_id ROWS UNBOUNDED PRECEDING) AS island FROM runs)
+WINDOW w AS (PARTITION BY username, island ORDER BY moment RANGE BETWEEN 9000 PRECEDING AND CURRENT ROW)""")
 def login_throttle(spark: SparkSession, d: str) -> DataFrame:
     return history.throttled(driver.runs(spark, d), 2, 9000).select("event_id", "recent", "locked")
 
@@ -243,15 +249,14 @@ BITS = "(SELECT s_suppkey AS id, xor(s_suppkey % 9 * 123456789123456789, CAST(s_
 JOIN (SELECT h, min(id) AS id FROM {BITS} GROUP BY h) y ON x.id < y.id WHERE bit_count(xor(x.h, y.h)) <= 6
 UNION ALL SELECT a, id, 0 FROM (SELECT id, min(id) OVER (PARTITION BY h) AS a FROM {BITS}) WHERE a <> id""", domain=False)
 def similarity_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return correlation.hamming_pairs(driver.profiles(spark, d).select(F.col("key").alias("id"), F.col("html").alias("h")), 6)
+    return correlation.hamming_links(driver.profiles(spark, d).select(F.col("key").alias("id"), F.col("html").alias("h")), 6)
 
 
 @query("""SELECT x.b AS id, string_agg(DISTINCT ex.type, ',' ORDER BY ex.type) AS types_a, string_agg(DISTINCT ey.type, ',' ORDER BY ey.type) AS types_b
 FROM near x JOIN near y ON x.b = y.b JOIN edges ex ON (ex.source = x.a AND ex.target = x.b) OR (ex.target = x.a AND ex.source = x.b) JOIN edges ey ON (ey.source = y.a AND ey.target = y.b) OR (ey.target = y.a AND ey.source = y.b)
-WHERE x.a = substr(sha256('domain|supplier-11.example'), 1, 24) AND y.a = substr(sha256('domain|supplier-21.example'), 1, 24) GROUP BY x.b""")
+WHERE x.a = substr(sha256('asn|AS1'), 1, 24) AND y.a = substr(sha256('hosting|region-1'), 1, 24) GROUP BY x.b""")
 def shared_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (r.id for r in _assets(spark, d).filter("value IN ('supplier-11.example', 'supplier-21.example')").orderBy("value").select("id").collect())
-    return graph.shared_neighbours(_edges(spark, d), a, b).select("id", _joined("types_a"), _joined("types_b"))
+    return graph.shared_neighbours(_edges(spark, d), _id("asn", "AS1"), _id("hosting", "region-1")).select("id", _joined("types_a"), _joined("types_b"))
 
 
 @query("SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 10")
@@ -373,11 +378,8 @@ def page_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS id, 'C-' || year(o_orderdate) || '-' || row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS number FROM orders""", domain=False)
 def case_numbers(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    year = F.year("o_orderdate")
-    n = F.row_number().over(W.partitionBy(year).orderBy("o_orderdate", "o_orderkey"))
-    return driver.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("C-"), year, F.lit("-"), n).alias("number"))
+    cases = driver.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("year"), F.col("o_orderdate").cast("date").alias("day"), "o_orderdate")
+    return history.numbered(cases, ["year"], "day", ["o_orderdate", "id"]).select("id", F.concat(F.lit("C-"), "year", F.lit("-"), "number").alias("number"))
 
 
 @query("""SELECT doc_id, doc_id % 3 = 0 AND length(text) > 0 AS member FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""", domain=False)

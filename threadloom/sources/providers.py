@@ -73,3 +73,12 @@ def indicators(lines: DataFrame, parse) -> DataFrame:
 def coalesced(payload: Column, *paths: str) -> Column:
     """The first JSON path that the payload has."""
     return reduce(F.coalesce, [F.get_json_object(payload, p) for p in paths])
+
+
+def dns_summary(records: DataFrame) -> DataFrame:
+    """host, a, aaaa, ips (both), cname, mx, ns, txt, has_mail: of records(host, rtype, value), values lower-cased but in txt, without the last dot, sorted, each once."""
+    value = F.when(F.col("rtype") == "TXT", F.col("value")).otherwise(F.lower(F.regexp_replace("value", r"\.$", "")))
+    each = records.withColumn("value", value)
+    of = lambda *kinds: F.array_sort(F.collect_set(F.when(F.col("rtype").isin(*kinds), F.col("value"))))
+    out = each.groupBy("host").agg(of("A").alias("a"), of("AAAA").alias("aaaa"), of("A", "AAAA").alias("ips"), of("CNAME").alias("cname"), of("MX").alias("mx"), of("NS").alias("ns"), of("TXT").alias("txt"))
+    return out.withColumn("has_mail", F.size("mx") > 0)
