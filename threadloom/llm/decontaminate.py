@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import fold_ascii, let, materialise, row_key, unused
+from threadloom.llm.common import LOWER, UPPER, let, materialise, row_key, unused
 
-#: After A-Z are lower-cased: ASCII letters and digits, and all that is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that are in no word: all but letters and digits. What is not ASCII is in words.
+APART = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 WINDOW = 10
 #: The n-grams are broadcast up to this many bytes; beyond it the keys of both sides are shuffled, with the same result.
 BROADCAST_BYTES = 64_000_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(fold_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. One translation and a split at spaces take half the time of a pattern for words."""
+    plain = F.translate(F.coalesce(text, F.lit("")), APART + UPPER, " " * len(APART) + LOWER)
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def _key(hashes: Column, start: Column | int, size: int) -> Column:
@@ -49,32 +51,43 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return each.select(key.alias("key"), "w", "item")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (row_key), pos, n, item: each occurrence of a benchmark window of n words, at word pos, in a row of docs, for each item that has it."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(all, found), both from one pass over the texts. all: doc_id, row (row_key), n_words of each row.
+
+    found: row, pos, n, item: each occurrence of a benchmark window of n words, at word pos, for each item that has it.
+    """
     items = materialise(benchmark_windows(benchmark, window), "ngrams")
     grams = materialise(items.select("key", "w").distinct(), "grams")
     facts = grams.agg(F.sum(F.octet_length(F.array_join("w", " ")) + 60), F.collect_set(F.size("w"))).first()  # sizes: at most window numbers
-    few = F.broadcast(grams) if (facts[0] or 0) <= BROADCAST_BYTES else grams
+    few = grams.withColumnRenamed("key", "gram")
+    few = F.broadcast(few) if (facts[0] or 0) <= BROADCAST_BYTES else few
     # explode() of a one-element array keeps the words from being found twice
-    texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
-    texts = texts.select("row", "ws", F.explode(F.array(_hashes(F.col("ws")))).alias("hs"))
-    found = None
-    for n in sorted(facts[1]) or [window]:
+    texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
+    texts = texts.select("doc_id", "row", "ws", F.explode(F.array(_hashes(F.col("ws")))).alias("hs"))
+    # place -1 stands for the row itself, so that its number of words comes from the same pass; its key is spread like any other
+    places = F.array(F.lit(-256).cast("long"))
+    key = F.lit(None).cast("long")
+    for n in sorted(facts[1]):
         starts = F.when(F.size("hs") >= n, F.sequence(F.lit(0), F.size("hs") - n)).otherwise(F.array().cast("array<int>"))
-        # the key is computed after explode(), where it is compiled, and not in a lambda
-        at = texts.select("row", "ws", "hs", F.explode(starts).alias("pos")).select("row", "ws", "pos", _key(F.col("hs"), F.col("pos"), n).alias("key")).join(few, "key")
-        each = at.filter(F.slice("ws", F.col("pos") + 1, F.lit(n)) == F.col("w")).select("row", "pos", F.lit(n).alias("n"), "key", "w")
-        found = each if found is None else found.unionByName(each)
-    found = materialise(found.select("row", "pos", "n", "key", "w").distinct(), "hits")
-    return found.join(items, ["key", "w"]).select("row", "pos", "n", "item")
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (row_key), n_hit, items (ids as strings, sorted), positions (of hit words): one row per row of docs with a hit."""
-    found = hits(docs, benchmark, window, id_col, text_col)
+        places = F.concat(places, F.transform(starts, lambda i: i.cast("long") * 256 + n))  # noqa: B023  (called at once)
+        key = F.when(F.col("n") == n, _key(F.col("hs"), F.col("pos"), n)).otherwise(key)
+    at = texts.select("doc_id", "row", "ws", "hs", F.explode(places).alias("place"))
+    at = at.select("doc_id", "row", "ws", "hs", F.floor(F.col("place") / 256).cast("int").alias("pos"), F.pmod("place", F.lit(256)).cast("int").alias("n"))
+    # the key is computed after explode(), where it is compiled, and not in a lambda
+    at = at.select("doc_id", "row", "ws", "pos", "n", F.when(F.col("pos") < 0, F.xxhash64("row")).otherwise(key).alias("key"))
+    met = at.join(few, (F.col("key") == F.col("gram")) & (F.col("pos") >= 0), "left")
+    met = met.filter((F.col("pos") < 0) | (F.slice("ws", F.col("pos") + 1, F.col("n")) == F.col("w")))
+    met = materialise(met.select("doc_id", "row", "pos", "n", F.when(F.col("pos") < 0, F.size("ws")).cast("long").alias("n_words"), "key", "w"), "occurrences")
+    found = met.filter("pos >= 0").select("row", "pos", "n", "key", "w").distinct()
+    return met.filter("pos < 0").select("doc_id", "row", "n_words"), found.join(items, ["key", "w"]).select("row", "pos", "n", "item")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(all, hits). all: doc_id, row, n_words of each row; hits: row, n_hit, items (ids as strings, sorted), positions (of hit words) of rows with a hit."""
+    base, found = occurrences(docs, benchmark, window, id_col, text_col)
     spread = found.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos")).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
     named = found.select("row", "item").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return spread.join(named, "row").select("row", F.size("positions").cast("long").alias("n_hit"), "items", "positions")
+    return base, spread.join(named, "row").select("row", F.size("positions").cast("long").alias("n_hit"), "items", "positions")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
     row, at = unused(docs, "row", "at")
-    hit = scan(docs, benchmark, window, id_col, text_col).select(F.col("row").alias(row), F.col("positions").alias(at))
+    hit = scan(docs, benchmark, window, id_col, text_col)[1].select(F.col("row").alias(row), F.col("positions").alias(at))
     same = row_key(docs[id_col], docs[text_col]) == hit[row]
     if remove == "documents":
         return docs.join(hit, same, "left_anti")
@@ -104,8 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids), contaminated: one row per row of docs, contaminated or not."""
-    hit = materialise(scan(docs, benchmark, window, id_col, text_col).drop("positions"), "hit_rows")
-    base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
-    out = base.join(hit, "row", "left")
+    base, hit = scan(docs, benchmark, window, id_col, text_col)
+    out = base.join(hit.drop("positions"), "row", "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
