@@ -65,19 +65,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_
     texts = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.explode(F.array(words(F.col(text_col)))).alias("ws"))
     texts = texts.select("doc_id", "row", "ws", F.explode(F.array(_hashes(F.col("ws")))).alias("hs"))
     # place -1 stands for the row itself, so that its number of words comes from the same pass; its key is spread like any other
-    places = F.array(F.lit(-256).cast("long"))
-    key = F.lit(None).cast("long")
-    for n in sorted(facts[1]):
-        starts = F.when(F.size("hs") >= n, F.sequence(F.lit(0), F.size("hs") - n)).otherwise(F.array().cast("array<int>"))
-        places = F.concat(places, F.transform(starts, lambda i: i.cast("long") * 256 + n))  # noqa: B023  (called at once)
-        key = F.when(F.col("n") == n, _key(F.col("hs"), F.col("pos"), n)).otherwise(key)
-    at = texts.select("doc_id", "row", "ws", "hs", F.explode(places).alias("place"))
-    at = at.select("doc_id", "row", "ws", "hs", F.floor(F.col("place") / 256).cast("int").alias("pos"), F.pmod("place", F.lit(256)).cast("int").alias("n"))
-    # the key is computed after explode(), where it is compiled, and not in a lambda
-    at = at.select("doc_id", "row", "ws", "pos", "n", F.when(F.col("pos") < 0, F.xxhash64("row")).otherwise(key).alias("key"))
-    met = at.join(few, (F.col("key") == F.col("gram")) & (F.col("pos") >= 0), "left")
-    met = met.filter((F.col("pos") < 0) | (F.slice("ws", F.col("pos") + 1, F.col("n")) == F.col("w")))
-    met = materialise(met.select("doc_id", "row", "pos", "n", F.when(F.col("pos") < 0, F.size("ws")).cast("long").alias("n_words"), "key", "w"), "occurrences")
+    met, own = None, [F.lit(-1)]
+    for n in sorted(facts[1], reverse=True) or [window]:  # nearly always one size
+        starts = F.when(F.size("hs") >= n, F.sequence(F.lit(-len(own)), F.size("hs") - n)).otherwise(F.array(*own).cast("array<int>"))
+        at = texts.select("doc_id", "row", "ws", "hs", F.explode(starts).alias("pos"))
+        # the key is computed after explode(), where it is compiled, and not in a lambda
+        key = F.when(F.col("pos") < 0, F.xxhash64("row")).otherwise(_key(F.col("hs"), F.col("pos"), n))
+        each = at.select("doc_id", "row", "ws", "pos", key.alias("key")).join(few, (F.col("key") == F.col("gram")) & (F.col("pos") >= 0), "left" if own else "inner")
+        each = each.filter((F.col("pos") < 0) | (F.slice("ws", F.col("pos") + 1, F.lit(n)) == F.col("w")))
+        each = each.select("doc_id", "row", "pos", F.lit(n).alias("n"), F.when(F.col("pos") < 0, F.size("ws")).cast("long").alias("n_words"), "key", "w")
+        met, own = each if met is None else met.unionByName(each), []
+    met = materialise(met, "occurrences")
     found = met.filter("pos >= 0").select("row", "pos", "n", "key", "w").distinct()
     return met.filter("pos < 0").select("doc_id", "row", "n_words"), found.join(items, ["key", "w"]).select("row", "pos", "n", "item")
 
