@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from threadloom.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
 from threadloom.llm.common import materialise, table
 
-#: Learned stages and token ids have no SQL; the tests hold each stage against a brute-force version.
+#: Learned stages and token ids have no SQL; tests hold the operators against brute force, and run() against planted cases.
 ORACLE_SQL = None
 
 
