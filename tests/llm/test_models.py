@@ -127,7 +127,7 @@ def test_language_model_clusters_every_word_seen_often(spark):
     assert min(units.of([b"seldom", b"seen"])) >= 1601
 
 
-def test_neighbours_against_brute_force(spark, docs, documents):
+def test_neighbours_against_brute_force(spark, docs, documents, monkeypatch):
     words, want = brown.hashes([brown.END, b"na", b"the", b"one"]), Counter()
     units = brown.Units(words, [b"ine"])
     rows = [[0, *units.of(brown.tokens(t))] for _, t, *_ in documents]
@@ -135,11 +135,13 @@ def test_neighbours_against_brute_force(spark, docs, documents):
         for u, v in zip(row, row[1:]):
             want[u, v] += 1
             want[v, ~u] += 1
-    got = Counter()
-    for r in brown.neighbours(docs.select("text"), words, [b"ine"]).collect():
-        got.update({(r.unit, o): n for o, n in zip(r.other, r.n)})
-    assert got == want
-    assert brown.neighbours(docs.select("text"), words, [b"ine"]).select("unit").distinct().count() == len({u for u, _ in want})
+    for fold in (brown.FOLD, 1):
+        monkeypatch.setattr(brown, "FOLD", fold)
+        near, got = brown.neighbours(docs.select("text"), words, [b"ine"]).collect(), Counter()
+        for r in near:
+            for other, n, side in ((r.after, r.after_n, 0), (r.before, r.before_n, -1)):
+                got.update({(r.unit, int(o) ^ side): int(k) for o, k in zip(np.frombuffer(other, np.int32), np.frombuffer(n, np.int64), strict=True)})
+        assert got == want and len(near) == len({u for u, _ in want})
 
 
 def spans_wanted(texts, length):

@@ -102,8 +102,34 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column whose row i holds the numbers values[bounds[i] : bounds[i + 1]]; bytes reach Python as one block, arrays number by number."""
+    ends = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """values and bounds of a column of packed() that holds numbers of this kind."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, ends, data = column.buffers()
+    bounds = np.frombuffer(ends, np.int32, len(column) + 1, column.offset * 4).astype(np.int64) // np.dtype(kind).itemsize
+    lo, hi = int(bounds[0]), int(bounds[-1])
+    values = np.frombuffer(data, kind, hi - lo, lo * np.dtype(kind).itemsize) if hi > lo else np.zeros(0, kind)
+    return values, bounds - lo
+
+
+#: Pairs of one unit that a task of neighbours() holds before it sums equal ones.
+FOLD = 4_000_000
+
+
 def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> DataFrame:
-    """unit, other, n: of each unit how often each v follows it, as v, and how often each u precedes it, as ~u. A text's first token follows an end."""
+    """unit, half, after, after_n, before, before_n: of each unit how often each other unit follows and precedes it. A text's first token follows an end.
+
+    after and before are packed() int32 units, after_n and before_n packed() int64 counts; half splits the units in two.
+    Every million tokens of a task are summed by pair before the shuffle, and a unit's sums go as one row, so a frequent
+    unit's list stays below the number of units.
+    """
     given = train.sparkSession.sparkContext.broadcast((words, endings))
 
     def pairs(batches):
@@ -112,11 +138,12 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
         def counted(rows):
             u = np.array(rows, np.int64)
             key, n = np.unique(u[:-1] * units.size + u[1:], return_counts=True)
-            u, v = key // units.size, key % units.size
+            u, v, n = (key // units.size).astype(np.int32), (key % units.size).astype(np.int32), n.astype(np.int32)
             back = np.argsort(v, kind="stable")
-            for unit, other, k in ((u, v, n), (v[back], ~u[back], n[back])):
-                for lo in range(0, len(unit), 100_000):
-                    yield pa.RecordBatch.from_pydict({"unit": pa.array(unit[lo : lo + 100_000], pa.int32()), "other": pa.array(other[lo : lo + 100_000], pa.int32()), "n": pa.array(k[lo : lo + 100_000], pa.int64())})
+            for side, unit, other, k in ((0, u, v, n), (1, v[back], u[back], n[back])):
+                first = np.flatnonzero(np.diff(unit, prepend=-1))
+                bounds = np.append(first, len(unit))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[first]), pa.array(np.full(len(first), side, np.int8)), packed(other, bounds), packed(k, bounds)], names=["unit", "side", "other", "n"])
 
         rows = [0]
         for batch in batches:
@@ -128,58 +155,64 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
         yield from counted(rows)
 
     def gather(batches):
-        def made(unit, other, n):
-            key, at = np.unique((unit << 32) + (other + (1 << 31)), return_inverse=True)
-            n = np.bincount(at, n).astype(np.int64)
-            unit, other = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
-            own, first = np.unique(unit, return_index=True)
-            ends = pa.array([*first, len(unit)], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(other, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int64()))], names=["unit", "other", "n"])
-
-        kept: list[list[np.ndarray]] = []  # of the unit that the next batch may go on with
+        def fold(kept):
+            key, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in kept]), len(key)).astype(np.int64)
+
+        def made(key, n):
+            unit, other, back = key >> 33, (key & 0xFFFFFFFF).astype(np.int32), (key >> 32 & 1).astype(bool)
+            own = unit[np.flatnonzero(np.diff(unit, prepend=-1))]
+            columns = [pa.array(own, pa.int32()), pa.array((own * 2654435761 >> 7) % 2, pa.int8())]
+            for side in (~back, back):
+                bounds = np.append(np.searchsorted(unit[side], own), side.sum())
+                columns += [packed(other[side], bounds), packed(n[side], bounds)]
+            return pa.RecordBatch.from_arrays(columns, names=["unit", "half", "after", "after_n", "before", "before_n"])
+
+        kept: list[tuple[np.ndarray, np.ndarray]] = []  # of the unit that the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(i).to_numpy().astype(np.int64) for i in range(3)]
-            cut = int(np.searchsorted(part[0], part[0][-1]))
-            if kept and (cut or kept[0][0][0] != part[0][0]):
-                yield made(*(np.concatenate(x) for x in zip(*kept, [x[:cut] for x in part], strict=True)))
+            unit, side = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            (other, bounds), (n, _) = (unpacked(batch.column(i), np.int32) for i in (2, 3))
+            key = np.repeat(unit * 2 + side << 32, np.diff(bounds)) | other
+            cut = int(bounds[np.searchsorted(unit, unit[-1])])
+            if kept and (cut or kept[0][0][0] >> 33 != unit[0]):
+                yield made(*fold([*kept, (key[:cut], n[:cut])]))
                 kept = []
             elif cut:
-                yield made(*(x[:cut] for x in part))
-            kept.append([x[cut:] for x in part])
+                yield made(*fold([(key[:cut], n[:cut])]))
+            kept.append((key[cut:], n[cut:]))
+            if sum(len(k) for k, _ in kept[1:]) > max(FOLD, len(kept[0][0])):
+                kept = [fold(kept)]
         if kept:
-            yield made(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+            yield made(*fold(kept))
 
-    found = train.mapInArrow(pairs, "unit int, other int, n long").repartition("unit").sortWithinPartitions("unit")
-    return found.mapInArrow(gather, "unit int, other array<int>, n array<long>")
+    found = train.mapInArrow(pairs, "unit int, side byte, other binary, n binary").repartition("unit").sortWithinPartitions("unit")
+    return found.mapInArrow(gather, "unit int, half byte, after binary, after_n binary, before binary, before_n binary")
 
 
-def _profiles(batch: pa.RecordBatch, of: np.ndarray, classes: int, rows: int):
-    """Of so many units at a time: unit, and by class how often it follows and how often it precedes."""
-    for lo in range(0, batch.num_rows, rows):
-        part = batch.slice(lo, rows)
-        bounds = part.column(1).offsets.to_numpy().astype(np.int64)
-        other, n = (part.column(i).flatten().to_numpy() for i in (1, 2))
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        key = (row * 2 + (other < 0)) * classes + of[np.where(other < 0, ~other, other)]
-        both = np.bincount(key, n, (len(bounds) - 1) * 2 * classes).reshape(-1, 2, classes)
-        yield part.column(0).to_numpy(), both[:, 0], both[:, 1]
+def _by_class(other: pa.Array, n: pa.Array, of: np.ndarray, classes: int) -> np.ndarray:
+    """A row per unit: the sums of its counts n by the class of the other unit."""
+    (other, bounds), (n, _) = unpacked(other, np.int32), unpacked(n, np.int64)
+    row = np.repeat(np.arange(len(bounds) - 1) * classes, np.diff(bounds))
+    return np.bincount(row + of[other], n, (len(bounds) - 1) * classes).reshape(-1, classes)
 
 
 def class_bigrams(near: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
     given = near.sparkSession.sparkContext.broadcast(of)
 
     def run(batches):
-        total = np.zeros((classes, classes))
+        total, of = np.zeros(classes * classes), given.value
         for batch in batches:
-            for unit, after, _ in _profiles(batch, given.value, classes, 4096):
-                np.add.at(total, given.value[unit], after)
-        u, v = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int32()), "v": pa.array(v, pa.int32()), "n": pa.array(total[u, v].astype(np.int64))})
+            (other, bounds), (n, _) = unpacked(batch.column(1), np.int32), unpacked(batch.column(2), np.int64)
+            own = np.repeat(of[batch.column(0).to_numpy()].astype(np.int64) * classes, np.diff(bounds))
+            total += np.bincount(own + of[other], n, classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"u": pa.array(at // classes, pa.int32()), "v": pa.array(at % classes, pa.int32()), "n": pa.array(total[at].astype(np.int64))})
 
     table = np.zeros((classes, classes))
-    for x in near.mapInArrow(run, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n")).collect():  # classes squared at most
+    found = near.select("unit", "after", "after_n").mapInArrow(run, "u int, v int, n long")
+    for x in found.groupBy("u", "v").agg(F.sum("n").alias("n")).collect():  # classes squared at most
         table[x.u, x.v] = x.n
     return table
 
@@ -203,7 +236,7 @@ def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before:
 
 
 def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit. near(unit, other, n) is of neighbours(), with units below size; the driver holds two bytes a unit.
+    """The class of each unit. near is of neighbours(), with units below size; the driver holds two bytes a unit.
 
     Each round sums every unit's bigrams by the class on the other side and moves each to its best class, with
     the other units where they were. One half moves at a time; when neither has moved, the rounds end.
@@ -214,16 +247,16 @@ def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = R
         table = class_bigrams(near, of, classes)
         given = near.sparkSession.sparkContext.broadcast(of)
 
-        def move(batches, table=table, given=given, r=r):
+        def move(batches, table=table, given=given):
             for batch in batches:
-                for unit, after, before in _profiles(batch, given.value, classes, 2048):
-                    unit = unit.astype(np.int64)
-                    turn = unit >= classes if r == 0 else (unit * 2654435761 >> 7) % 2 != r % 2 if r > 1 else unit >= 0
-                    unit, after, before = unit[turn], after[turn], before[turn]
-                    new = best_classes(table, given.value[unit], after, before)
-                    yield pa.RecordBatch.from_pydict({"unit": pa.array(unit, pa.int32()), "class": pa.array(new, pa.int32())})
-
-        moved = near.mapInArrow(move, "unit int, class int").toArrow()  # a row per unit
+                for lo in range(0, batch.num_rows, 2048):
+                    unit, *sides = batch.slice(lo, 2048).columns
+                    after, before = (_by_class(*side, given.value, classes) for side in (sides[:2], sides[2:]))
+                    new = best_classes(table, given.value[unit.to_numpy()], after, before)
+                    yield pa.RecordBatch.from_arrays([unit, pa.array(new, pa.int32())], names=["unit", "class"])
+
+        turn = near.filter(F.col("unit") >= classes) if r == 0 else near.filter(F.col("half") != r % 2) if r > 1 else near
+        moved = turn.drop("half").mapInArrow(move, "unit int, class int").toArrow()  # a row per unit
         old = of.copy()
         of[moved["unit"].to_numpy()] = moved["class"].to_numpy()
         given.destroy()
