@@ -58,19 +58,21 @@ class Units:
         self.size = len(words) + len(endings) + 1
         self.memo: dict[bytes, int] = {END: 0}
 
+    def find(self, words: list[bytes]) -> list[int]:
+        h = hashes(words)
+        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+        found = np.where(self.sorted[at] == h, self.order[at], -1).tolist()
+        return [u if u >= 0 else 0 if w == END else self.endings.get(w[-3:], self.size - 1) for w, u in zip(words, found, strict=True)]
+
     def of(self, words: list[bytes]) -> list[int]:
-        known = self.memo
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > 200_000:
-                self.memo = known = {END: 0}
-                new = list(set(words) - {END})
-            h = hashes(new)
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            found = np.where(self.sorted[at] == h, self.order[at], -1).tolist()
-            for w, u in zip(new, found, strict=True):
-                known[w] = u if u >= 0 else self.endings.get(w[-3:], self.size - 1)
-        return [known[w] for w in words]
+        found = list(map(self.memo.get, words))
+        if None in found:
+            if len(self.memo) > 200_000:
+                self.memo = {}
+            new = list({w for w in words if w not in self.memo})
+            self.memo.update(zip(new, self.find(new), strict=True))
+            found = list(map(self.memo.__getitem__, words))
+        return found
 
 
 @dataclass
@@ -135,8 +137,7 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
     def pairs(batches):
         units = Units(*given.value)
 
-        def counted(rows):
-            u = np.array(rows, np.int64)
+        def counted(u):
             key, n = np.unique(u[:-1] * units.size + u[1:], return_counts=True)
             u, v, n = (key // units.size).astype(np.int32), (key % units.size).astype(np.int32), n.astype(np.int32)
             back = np.argsort(v, kind="stable")
@@ -145,14 +146,15 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
                 bounds = np.append(first, len(unit))
                 yield pa.RecordBatch.from_arrays([pa.array(unit[first]), pa.array(np.full(len(first), side, np.int8)), packed(other, bounds), packed(k, bounds)], names=["unit", "side", "other", "n"])
 
-        rows = [0]
+        rows, n = [np.zeros(1, np.int64)], 0
         for batch in batches:
             for part in parts(batch, 0):
-                rows += units.of([w for t in part.column(0).to_pylist() for w in tokens(t)])
-                if len(rows) > 1_000_000:
-                    yield from counted(rows)
-                    rows = [0]
-        yield from counted(rows)
+                rows.append(np.array(units.of([w for t in part.column(0).to_pylist() for w in tokens(t)]), np.int64))
+                n += len(rows[-1])
+                if n > 1_000_000:
+                    yield from counted(np.concatenate(rows))
+                    rows, n = rows[:1], 0
+        yield from counted(np.concatenate(rows))
 
     def gather(batches):
         def fold(kept):
@@ -336,24 +338,41 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         words, endings, classes, transitions, denominators, head = given.value
-        units = Units(words, endings)
-        index = {w: i for i, w in enumerate(head)}
-        logs = np.log10(np.array([*head.values(), 0.5]) + 0.5)  # the last, of words that are not in the head, is 0
-        end = classes[0]
+        units, end = Units(words, endings), classes[0]
+        own: dict[bytes, int] = {}  # a number of each word that was met, a bounded number of them
+        names: list[bytes] = []  # by it, as are c, the class, and known, log10 of the count or -1 for a word out of the head
+        c, known = np.zeros(0, classes.dtype), np.zeros(0)
         for batch in batches:
             for part in parts(batch, 2):
-                cols: dict[str, list] = {"n_tokens": [], "n_head": [], "shared": [], "own": [], "rare": []}
-                for t in part.column(2).to_pylist():
-                    ws = tokens(t)
-                    at = np.array([index.get(w, -1) for w in ws])
-                    c = classes[units.of(ws)]
-                    path = transitions[np.concatenate(([end], c[:-1])), c].sum() - denominators[c].sum()
-                    known = logs[at].sum()
-                    rare = Counter(w for w, i in zip(ws, at.tolist(), strict=True) if i < 0)
-                    for k, x in zip(cols, (len(ws), int((at >= 0).sum()), known, path, [{"w": w, "k": k} for w, k in rare.items()]), strict=True):
-                        cols[k].append(x)
-                kinds = {"n_tokens": pa.int64(), "n_head": pa.int64(), "shared": pa.float64(), "own": pa.float64(), "rare": pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))}
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(v, kinds[k]) for k, v in cols.items())], names=["doc_id", "row", *cols])
+                texts = [tokens(t) for t in part.column(2).to_pylist()]
+                ws = [w for t in texts for w in t]
+                at = list(map(own.get, ws))
+                if None in at:
+                    if len(names) > 200_000:
+                        own, names, c, known = {}, [], c[:0], known[:0]
+                    new = list({w for w in ws if w not in own})
+                    own.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
+                    names += new
+                    c = np.concatenate((c, classes[units.find(new)]))
+                    known = np.concatenate((known, [np.log10(head[w] + 0.5) if w in head else -1 for w in new]))
+                    at = list(map(own.__getitem__, ws))
+                at = np.array(at, np.int64)
+                length = np.array([len(t) for t in texts])
+                first = np.cumsum(length) - length
+                to = c[at]
+                before = np.concatenate(([end], to[:-1]))
+                before[first] = end
+                path = np.add.reduceat(transitions[before, to] - denominators[to], first)
+                logs = known[at]
+                inside = logs >= 0
+                # of every text the words out of the head, each once with its number
+                outside = np.flatnonzero(~inside)
+                key, k = np.unique(np.repeat(np.arange(len(texts)), length)[outside] * len(names) + at[outside], return_counts=True)
+                bounds = np.searchsorted(key, np.arange(len(texts) + 1) * len(names))
+                rare = pa.StructArray.from_arrays([pa.array([names[i] for i in (key % len(names)).tolist()], pa.binary()), pa.array(k, pa.int64())], names=["w", "k"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(length, pa.int64()), pa.array(np.add.reduceat(inside.astype(np.int64), first)), pa.array(np.add.reduceat(np.where(inside, logs, 0.0), first)), pa.array(path), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)],
+                    names=["doc_id", "row", "n_tokens", "n_head", "shared", "own", "rare"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
