@@ -67,11 +67,12 @@ class Units:
     def of(self, words: list[bytes]) -> list[int]:
         found = list(map(self.memo.get, words))
         if None in found:
+            new = list({w for w, u in zip(words, found, strict=True) if u is None})
+            met = dict(zip(new, self.find(new), strict=True))
+            found = [met[w] if u is None else u for w, u in zip(words, found, strict=True)]
             if len(self.memo) > 200_000:
                 self.memo = {}
-            new = list({w for w in words if w not in self.memo})
-            self.memo.update(zip(new, self.find(new), strict=True))
-            found = list(map(self.memo.__getitem__, words))
+            self.memo.update((w, u) for w, u in met.items() if u < len(self.sorted))  # a seldom word hardly comes again
         return found
 
 
@@ -129,7 +130,7 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
     """unit, half, after, after_n, before, before_n: of each unit how often each other unit follows and precedes it. A text's first token follows an end.
 
     after and before are packed() int32 units, after_n and before_n packed() int64 counts; half splits the units in two.
-    Every million tokens of a task are summed by pair before the shuffle, and a unit's sums go as one row, so a frequent
+    Every two million tokens of a task are summed by pair before the shuffle, and a unit's sums go as one row, so a frequent
     unit's list stays below the number of units.
     """
     given = train.sparkSession.sparkContext.broadcast((words, endings))
@@ -140,7 +141,7 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
         def counted(u):
             key, n = np.unique(u[:-1] * units.size + u[1:], return_counts=True)
             u, v, n = (key // units.size).astype(np.int32), (key % units.size).astype(np.int32), n.astype(np.int32)
-            back = np.argsort(v, kind="stable")
+            back = np.argsort(v)
             for side, unit, other, k in ((0, u, v, n), (1, v[back], u[back], n[back])):
                 first = np.flatnonzero(np.diff(unit, prepend=-1))
                 bounds = np.append(first, len(unit))
@@ -151,15 +152,18 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
             for part in parts(batch, 0):
                 rows.append(np.array(units.of([w for t in part.column(0).to_pylist() for w in tokens(t)]), np.int64))
                 n += len(rows[-1])
-                if n > 1_000_000:
+                if n > 2_000_000:
                     yield from counted(np.concatenate(rows))
                     rows, n = rows[:1], 0
         yield from counted(np.concatenate(rows))
 
     def gather(batches):
         def fold(kept):
-            key, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([n for _, n in kept]), len(key)).astype(np.int64)
+            key, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            return key[first], np.add.reduceat(n[order].astype(np.int64), first)
 
         def made(key, n):
             unit, other, back = key >> 33, (key & 0xFFFFFFFF).astype(np.int32), (key >> 32 & 1).astype(bool)
@@ -346,16 +350,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in parts(batch, 2):
                 texts = [tokens(t) for t in part.column(2).to_pylist()]
                 ws = [w for t in texts for w in t]
+                if len(names) > 200_000:
+                    own, names, c, known = {}, [], c[:0], known[:0]
                 at = list(map(own.get, ws))
                 if None in at:
-                    if len(names) > 200_000:
-                        own, names, c, known = {}, [], c[:0], known[:0]
-                    new = list({w for w in ws if w not in own})
+                    new = list({w for w, i in zip(ws, at, strict=True) if i is None})
                     own.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
                     names += new
                     c = np.concatenate((c, classes[units.find(new)]))
-                    known = np.concatenate((known, [np.log10(head[w] + 0.5) if w in head else -1 for w in new]))
-                    at = list(map(own.__getitem__, ws))
+                    counts = np.array([head.get(w, -1) for w in new], float)
+                    known = np.concatenate((known, np.where(counts < 0, -1, np.log10(np.maximum(counts, 0) + 0.5))))
+                    at = [own[w] if i is None else i for w, i in zip(ws, at, strict=True)]
                 at = np.array(at, np.int64)
                 length = np.array([len(t) for t in texts])
                 first = np.cumsum(length) - length
