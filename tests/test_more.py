@@ -7,6 +7,7 @@ from threadloom.config import Scoring
 from threadloom.functions import brand
 from threadloom.functions import text as X
 from threadloom.operators import clusters, correlation, graph, history, profiles, report
+from threadloom.operators.components import components
 from threadloom.spark import discard, materialise, scratch
 
 
@@ -124,3 +125,15 @@ def test_discarded_tables_are_gone(spark):
     assert df.count() == 5 and os.path.exists(at) and scratch(spark) in df._threadloom_path
     discard(df)
     assert not os.path.exists(at)
+
+
+def test_components_of_paths_stars_loops_and_no_edges(spark):
+    def roots(edges):
+        got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert len(got) == len({r.node for r in got})
+        return {r.node: r.root for r in got}
+
+    assert roots([]) == {} and roots([(3, 3)]) == {}
+    assert roots([(i, i + 1) for i in range(60)]) == dict.fromkeys(range(61), 0)
+    assert roots([(9, i) for i in range(1, 9)] + [(9, 1)]) == dict.fromkeys(range(1, 10), 1)
+    assert roots([(1, 2), (3, 4), (4, 5)]) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}

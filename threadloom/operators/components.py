@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.spark import materialise
+from threadloom.spark import discard, materialise
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """No node of e(u, v) has two v, or is both a u and a v. One pre-aggregated pass."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("c")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("c")))
+    return ends.groupBy("n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("t")).filter("c > 0 AND t > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges(u, v), of any orderable type; loops and repeats do no harm.
 
-    Each round is written to the shared folder, so that a lost executor costs a re-read. The rounds grow
-    with the logarithm of the longest path.
+    Each round is written to the shared folder, so that a lost executor costs a re-read, and the round before
+    it is deleted. The rounds grow with the logarithm of the longest path; they end when all edges lead from
+    a node to its root, which an edge list that is so from the start shows without a round.
     """
     e = materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = materialise(small.filter("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        last, e = e, materialise(small.filter("u <> v").distinct(), "stars")
+        discard(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
