@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialise, parts, row_key, texts_in_small_batches
+from threadloom.llm.common import discard, materialise, parts, row_key, texts_in_small_batches
 from threadloom.operators.components import components
 from threadloom.llm.shingles import mix, shingle_sets
 
@@ -196,21 +196,25 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     """
     signed = materialise(signatures(texts_in_small_batches(docs), words, *banding(percent), id_col, text_col), "signatures")
     nodes = materialise(signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
-    members = materialise(buckets(nodes), "buckets")
+    every = materialise(buckets(nodes), "buckets")
     lead = F.max(F.struct("w", "node", "n")).alias("f")
-    firsts = members.groupBy("key").agg(lead, F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", F.col("f.node").alias("u"), F.col("f.n").alias("m"))
+    firsts = every.groupBy("key").agg(lead, F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key", F.col("f.node").alias("u"), F.col("f.n").alias("m"))
     firsts = materialise(firsts, "leaders")
-    members = materialise(members.join(firsts.select("key"), "key", "left_semi"), "shared")
+    members = materialise(every.join(firsts.select("key"), "key", "left_semi"), "shared")
+    discard(every)
     pair = (F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v"))
     tested = materialise(members.join(firsts, "key").filter((F.col("u") != F.col("node")) & _near("n", "m", percent)).select(*pair).distinct(), "stars")
     sets = materialise(_sets(docs, nodes.join(members, "node", "left_semi").select("row", "node"), words, id_col, text_col), "sets")
     links = materialise(confirmed(tested, sets, percent), "links")
     found = components(links)
-    rest = _mixed(members, found).select("node", "n", "root").distinct()
+    mixed = _mixed(members, found)
+    rest = mixed.select("node", "n", "root").distinct()
     rest = rest.join(_contested(rest.select("node"), sets), "node").filter(F.col("e") * 100 >= F.col("n") * percent)
     rest = materialise(rest.join(nodes.select("node", "a", "b"), "node"), "contested")
     more = _across(rest, percent).join(tested, ["u", "v"], "left_anti")
-    found = components(links.unionByName(materialise(confirmed(more, sets, percent), "more_links")))
+    more = materialise(confirmed(more, sets, percent), "more_links")
+    found = components(links.unionByName(more))
+    discard(firsts, members, tested, sets, links, mixed, rest, more)
     rooted = nodes.select("node", "id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.select("node", "root").join(least, "root").select("node", "component_id")
