@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import registered_domain, url_host
+
 # Tracker family, asset type, pattern (its first group that matched is the id), and words one of which the page must hold.
 TRACKERS = [
     ("google_analytics", "analytics", r"\b(UA-\d{4,10}-\d{1,4})\b", ()),
@@ -108,6 +110,59 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))
 
 
+# The meta entries that are kept.
+META = ("description", "keywords", "generator", "author", "robots", "application-name", "og:title", "og:site_name", "og:description", "og:url", "og:image", "twitter:title", "twitter:site", "theme-color", "refresh")
+REFRESH = r"(?i)<meta[^>]+http-equiv=[\"']?refresh[\"']?[^>]*content=[\"']?\s*\d+\s*;\s*url=([^\"'>\s]+)"
+SCRIPTED = r"(?i)(?:\blocation(?:\.href)?\s*=\s*|\blocation\.replace\()[\"']([^\"']+)[\"']"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, without quotes; null if the tag has none."""
+    value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    return F.when(value != "", F.regexp_replace(value, "^[\"']|[\"']$", ""))
+
+
+def _tags(html: Column, names: str) -> Column:
+    return _all(html, rf"(?i)<(?:{names})\b[^>]*>")
+
+
+def language(html: Column) -> Column:
+    return attribute(F.regexp_extract(html, r"(?i)<html\b[^>]*>", 0), "lang")
+
+
+def metadata(html: Column) -> Column:
+    """map of the entries in META that the page has, by their last value, 500 characters at most; a null page has none."""
+    key = lambda t: F.lower(F.coalesce(attribute(t, "name"), attribute(t, "property"), attribute(t, "http-equiv")))
+    found = F.transform(_tags(html, "meta"), lambda t: F.struct(key(t).alias("k"), attribute(t, "content").alias("v")))
+    last = F.transform(F.array(*map(F.lit, META)), lambda k: F.struct(k.alias("k"), F.try_element_at(F.filter(found, lambda m: (m["k"] == k) & (m["v"] != "")), F.lit(-1))["v"].alias("v")))
+    return F.map_from_entries(F.transform(F.filter(last, lambda m: m["v"].isNotNull()), lambda m: F.struct(m["k"].alias("k"), F.substring(m["v"], 1, 500).alias("v"))))
+
+
+def _hosts(tags: Column, name: str, url: Column) -> Column:
+    """Hosts that an attribute of the tags leads to; that of the page for a relative one, none for other schemes."""
+    def host(t: Column) -> Column:
+        to = F.trim(attribute(t, name))
+        to = F.when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to)).when(to.rlike(r"^(?i)https?://"), to).when(~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), url)
+        return url_host(to)
+
+    return F.filter(F.transform(tags, host), lambda h: h != "")
+
+
+def resource_hosts(html: Column, url: Column) -> Column:
+    """struct<scripts, resources, external>: sorted hosts of scripts; of these, links, images, frames and anchors; and those under another registrable domain than url's."""
+    scripts = _hosts(_tags(html, "script"), "src", url)
+    both = F.concat(scripts, _hosts(_tags(html, "link|a"), "href", url), _hosts(_tags(html, "img|iframe"), "src", url))
+    every = F.array_sort(F.array_distinct(both))
+    base = registered_domain(url_host(url))
+    return F.struct(F.array_sort(F.array_distinct(scripts)).alias("scripts"), every.alias("resources"), F.filter(every, lambda h: registered_domain(h) != base).alias("external"))
+
+
+def redirect_hints(html: Column, limit: int = 20) -> Column:
+    """struct<refresh, scripted>: where a refresh leads, null if there is none, and the sorted targets that scripts set, the first so many."""
+    to = F.regexp_extract(html, REFRESH, 1)
+    return F.struct(F.when(to != "", to).alias("refresh"), F.slice(F.array_sort(F.array_distinct(_all(html, SCRIPTED, 1))), 1, limit).alias("scripted"))
+
+
 def _sum(text: Column, patterns) -> Column:
     total = F.lit(0)
     for p, w in patterns:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from threadloom.config import Scoring
 from threadloom.functions import brand
+from threadloom.functions import pages as P
 from threadloom.functions import text as X
 from threadloom.operators import catalog, clusters, correlation, graph, history, profiles, report
 from threadloom.plans.queries import DISTINCT, GROUPED, WEIGHED, _assets, _graph, _id, query
-from threadloom.sources import driver, providers
+from threadloom.sources import driver, payloads, providers
 from threadloom.spark import materialise
 
 LOOKS = """, looks AS (
@@ -281,3 +282,52 @@ def brand_scores(spark: SparkSession, d: str) -> DataFrame:
 def page_matches(spark: SparkSession, d: str) -> DataFrame:
     looks = materialise(driver.profiles(spark, d), "profiles")
     return profiles.page_matches(looks, _assets(spark, d).filter("is_root").select(F.col("id").alias("host")))
+
+
+def _answers(rows: DataFrame, *fields) -> DataFrame:
+    """rows with payload: the fields (columns) as one JSON answer."""
+    return rows.withColumn("payload", F.to_json(F.struct(*fields)))
+
+
+@query("""SELECT s_suppkey, 'H' || s_suppkey AS handle, s_name AS registrar, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'abuse' || s_nationkey || '@x.example' END AS abuse_email, array_to_string(list_sort(list_distinct(['ns' || s_nationkey || '.x.example', 'ns1.x.example'])), ',') AS nameservers,
+  len(list_distinct(['ns' || s_nationkey || '.x.example', 'ns1.x.example'])) AS n_related FROM supplier""", domain=False)
+def registry_records(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    card = lambda field, value: F.array(F.lit('"vcard"'), F.concat(F.lit(f'[["{field}", {{}}, "text", "'), value, F.lit('"]]')))
+    json = lambda parts: F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))
+    abuse = F.when(k % 3 != 0, F.concat(F.lit('{"roles": ["abuse"], "vcardArray": '), json(card("email", F.concat(F.lit("abuse"), n, F.lit("@x.example")))), F.lit("}"))).otherwise("")
+    people = F.concat(F.lit('[{"roles": ["registrar"], "vcardArray": '), json(card("fn", F.col("s_name"))), F.lit(', "entities": ['), abuse, F.lit("]}]"))
+    payload = F.concat(F.lit('{"handle": "H'), k, F.lit('", "nameservers": [{"ldhName": "NS1.x.example."}, {"ldhName": "ns'), n, F.lit('.x.example"}], "entities": '), people, F.lit("}"))
+    found = payloads.registry(driver.read(spark, d, "supplier").withColumn("payload", payload))
+    return found.select("s_suppkey", "handle", "registrar", "abuse_email", F.array_join("nameservers", ",").alias("nameservers"), F.size("related").alias("n_related"))
+
+
+@query("""SELECT c_custkey, CAST(c_custkey % 101 AS INTEGER) AS score, c_mktsegment AS isp, c_custkey % 2 = 0 OR c_custkey % 3 = 0 AS seen, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'domain|c' || c_custkey || '.example' END AS related FROM customer""", domain=False)
+def reputation_records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, F.lit("no domain")).otherwise(F.concat(F.lit("C"), k, F.lit(".example")))
+    rows = _answers(driver.read(spark, d, "customer"), F.struct((k % 101).alias("abuseConfidenceScore"), F.col("c_mktsegment").alias("isp"), F.array(name).alias("hostnames")).alias("data"), (k % 2 == 0).alias("noise"), (k % 3 == 0).alias("riot"))
+    found = payloads.noise(payloads.abuse_reports(rows))
+    return found.select("c_custkey", "score", "isp", "seen", F.array_join(F.transform("related", lambda r: F.concat_ws("|", r["type"], r["value"])), ",").alias("related"))
+
+
+@query("""SELECT host, count(*) AS services, array_to_string(list_sort(list_distinct(list(port))), ',') AS ports, count(DISTINCT cert) AS certificates FROM (
+  SELECT ps AS host, CAST(p_size AS VARCHAR) AS port, CASE WHEN p_partkey % 2 = 0 THEN 'fp' || p_partkey % 7 END AS cert FROM (SELECT *, p_partkey // 40 AS ps FROM part)) GROUP BY host""", domain=False)
+def host_services(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    seal = F.when(k % 2 == 0, F.concat(F.lit("FP"), k % 7))
+    one = F.struct(F.col("p_size").alias("port"), F.lit("HTTP").alias("service_name"), F.struct(F.struct(seal.alias("leaf_fp_sha_256")).alias("certificates")).alias("tls"))
+    hosts = driver.read(spark, d, "part").groupBy(F.floor(k / 40).alias("host")).agg(F.collect_list(one).alias("s"))
+    found = payloads.host_services(_answers(hosts, F.struct(F.struct(F.col("s").alias("services")).alias("resource")).alias("result")))
+    ports = F.array_sort(F.array_distinct(F.transform("services", lambda s: s["port"].cast("string"))))
+    return found.select("host", F.size("services").cast("long").alias("services"), F.array_join(ports, ",").alias("ports"), F.size("related").cast("long").alias("certificates"))
+
+
+@query("""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, 'p' || page_id AS generator, 'cdn' || page_id % 3 || '.example' AS scripts, '/next' || page_id AS refresh FROM pages""", domain=False)
+def page_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages, each with markup for its entries put behind it, as the recorded ones have none."""
+    k = F.col("page_id")
+    more = F.concat(F.lit('<meta name="generator" content="p'), k, F.lit('"><script src="https://cdn'), k % 3, F.lit('.example/a.js"></script><meta http-equiv="refresh" content="0; url=/next'), k, F.lit('">'))
+    pages = driver.read(spark, d, "pages").select("page_id", F.concat("html", more).alias("html"), "url")
+    found = pages.select("page_id", P.language(F.col("html")).alias("language"), P.metadata(F.col("html")).alias("m"), P.resource_hosts(F.col("html"), F.col("url")).alias("r"), P.redirect_hints(F.col("html")).alias("x"))
+    return found.select("page_id", "language", F.try_element_at("m", F.lit("generator")).alias("generator"), F.array_join("r.scripts", ",").alias("scripts"), F.col("x.refresh").alias("refresh"))
