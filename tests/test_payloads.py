@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from threadloom.functions import pages as P
+from threadloom.operators import profiles
 from threadloom.sources import payloads
 
 
@@ -65,3 +66,24 @@ def test_page_entries_hosts_and_hints(spark):
     assert r.r.scripts == ["cdn.other.com"] and r.r.resources == ["cdn.other.com", "img.site.com", "www.site.com"] and r.r.external == ["cdn.other.com"]
     assert r.x.refresh == "/next" and r.x.scripted == ["/a", "https://b.example"]
     assert empty.l is None and empty.m == {} and empty.r.resources == [] and null.m == {} and null.r.scripts is None
+
+
+def test_look_alikes_lose_no_match(spark):
+    import random
+
+    r = random.Random(3)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    asked = [r.getrandbits(64) for _ in range(5)]
+    stored = [(i, asked[i % 5] ^ sum(1 << b for b in r.sample(range(64), i % 14))) for i in range(300)]
+    df = spark.createDataFrame([(i, signed(h), None) for i, h in stored] + [(999, None, None)], "host int, phash long, dhash long")
+    uploads = spark.createDataFrame([(i, signed(h), signed(h)) for i, h in enumerate(asked)], "upload int, phash long, dhash long")
+    for least in (0.82, 0.9, 1.0):
+        got = {(x.upload, x.host): x.similarity for x in profiles.look_alikes(df, uploads, least).collect()}
+        want = {(u, i): 1 - (g ^ h).bit_count() / 64 for u, g in enumerate(asked) for i, h in stored}
+        assert got == {k: v for k, v in want.items() if v >= least}
+
+
+def test_certificates_match_by_either_hash(spark):
+    stored = spark.createDataFrame([(1, "a", "k"), (2, "b", "k"), (3, None, None), (4, "a", "z")], "host int, certificate string, key string")
+    uploads = spark.createDataFrame([(9, "a", "k"), (8, None, None)], "upload int, certificate string, key string")
+    assert {tuple(r) for r in profiles.certificate_matches(stored, uploads).collect()} == {(9, 1), (9, 2), (9, 4)}

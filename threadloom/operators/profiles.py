@@ -97,3 +97,33 @@ def page_matches(profiles: DataFrame, uploaded: DataFrame, least: float = 0.90)
     by_title = named.join(uploaded, "host", "left_anti").join(titles, "t", "left_semi").select("host", F.lit("title").alias("via"), F.lit(0).alias("rank"))
     by_html = similar_hashes(profiles, uploaded, "html", least).select("host", F.lit("structure").alias("via"), F.lit(1).alias("rank"))
     return by_title.unionByName(by_html).groupBy("host").agg(F.min_by("via", "rank").alias("via"))
+
+
+def look_alikes(stored: DataFrame, uploaded: DataFrame, least: float, kinds: tuple[str, ...] = ("phash", "dhash")) -> DataFrame:
+    """upload, host, similarity: hosts of stored(host, 64-bit hashes) whose hash of any kind is alike by least or more to that of uploaded(upload, the same hashes); the best similarity of both.
+
+    Hashes meet by equal bytes: of eight, one differs in an eighth of the allowed bits at most, so an upload
+    asks for its own byte and all within that many bits, which loses no match. Only the uploads' side grows
+    with the distance, from 8 rows a hash to 72 below 0.88 and 296 below 0.75. A null hash is like nothing.
+    """
+    distance = math.floor(64 * (1 - least) + 1e-9)
+    masks = [m for m in range(256) if m.bit_count() <= distance // 8]
+    byte = lambda h, i: F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    out = None
+    for c in kinds:
+        have = stored.filter(F.col(c).isNotNull()).select("host", F.col(c).alias("h"))
+        have = have.select("host", "h", F.posexplode(F.array(*(byte(F.col("h"), i) for i in range(8)))).alias("i", "part"))
+        ask = uploaded.filter(F.col(c).isNotNull()).select("upload", F.col(c).alias("g"))
+        ask = ask.select("upload", "g", F.posexplode(F.array(*(byte(F.col("g"), i) for i in range(8)))).alias("i", "own"))
+        near = F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col("own").bitwiseXOR(m))
+        ask = ask.select("upload", "g", "i", F.explode(near).alias("part"))
+        far = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
+        met = have.join(ask, ["i", "part"]).filter(far <= distance).select("upload", "host", (1 - far / 64).alias("similarity"))
+        out = met if out is None else out.unionByName(met)
+    return out.groupBy("upload", "host").agg(F.max("similarity").alias("similarity"))
+
+
+def certificate_matches(stored: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """upload, host: hosts of stored(host, certificate, key) with the certificate or the public key of uploaded(upload, certificate, key), each pair once. Nulls match nothing."""
+    by = lambda c: stored.select("host", c).join(uploaded.select("upload", c), c).select("upload", "host")
+    return by("certificate").unionByName(by("key")).distinct()

@@ -331,3 +331,19 @@ def page_entries(spark: SparkSession, d: str) -> DataFrame:
     pages = driver.read(spark, d, "pages").select("page_id", F.concat("html", more).alias("html"), "url")
     found = pages.select("page_id", P.language(F.col("html")).alias("language"), P.metadata(F.col("html")).alias("m"), P.resource_hosts(F.col("html"), F.col("url")).alias("r"), P.redirect_hints(F.col("html")).alias("x"))
     return found.select("page_id", "language", F.try_element_at("m", F.lit("generator")).alias("generator"), F.array_join("r.scripts", ",").alias("scripts"), F.col("x.refresh").alias("refresh"))
+
+
+@query(LOOKS + """SELECT r.host AS upload, o.host, max(s) AS similarity FROM others o JOIN roots r ON true, LATERAL (SELECT greatest(CASE WHEN o.shot AND r.shot THEN 1 - bit_count(xor(o.html, r.html)) / 64.0 ELSE 0 END, 1 - bit_count(xor(o.html, xor(r.html, 1023))) / 64.0) AS s) WHERE s >= 0.82 GROUP BY r.host, o.host""")
+def screenshot_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The roots' pictures as uploads, against those of all other hosts."""
+    looks = materialise(driver.profiles(spark, d).select("host", F.col("screenshot").alias("phash"), F.col("html").alias("dhash")), "profiles")
+    roots = _assets(spark, d).filter("is_root").select(F.col("id").alias("host"))
+    uploads = looks.join(roots, "host", "left_semi").select(F.col("host").alias("upload"), "phash", F.col("dhash").bitwiseXOR(F.lit(1023).cast("long")).alias("dhash"))
+    return profiles.look_alikes(looks.join(roots, "host", "left_anti"), uploads, 0.82)
+
+
+@query("""SELECT u.p_partkey AS upload, count(*) AS hosts FROM part p JOIN part u ON u.p_partkey % 20 = 0 AND (p.p_partkey % 97 = u.p_partkey % 97 OR p.p_name = u.p_name) GROUP BY u.p_partkey""", domain=False)
+def certificate_matches(spark: SparkSession, d: str) -> DataFrame:
+    known = driver.read(spark, d, "part").select(F.col("p_partkey").alias("host"), (F.col("p_partkey") % 97).alias("certificate"), F.col("p_name").alias("key"))
+    uploads = known.filter(F.col("host") % 20 == 0).withColumnRenamed("host", "upload")
+    return profiles.certificate_matches(known, uploads).groupBy("upload").agg(F.count(F.lit(1)).alias("hosts"))
