@@ -91,8 +91,9 @@ def counted(docs: DataFrame, labels: DataFrame, text_failures=failures, duplicat
     none is smaller. good and toxic count documents that labels has with quality 1 and with toxic 1 in any row.
     Other columns are not looked at; an empty table gives none.
 
-    Texts are read once and leave a digest and a mask. The least id of a digest is summed up before it is shuffled
-    and joined to the rows by an ordinary join, which Spark splits where a text is in a great share of them.
+    Texts are read once and leave a digest and a mask. Rows are summed by digest, part and labels before they are
+    shuffled by digest, each sum with its least id and the rows that have it; the least id of all is joined to the
+    sums. So a text that many rows share costs a row per task and part.
     """
     conditions = text_failures(F.col("text"), F.col("words"))
     names = "".join(conditions) + duplicate
@@ -100,14 +101,20 @@ def counted(docs: DataFrame, labels: DataFrame, text_failures=failures, duplicat
         raise ValueError(f"up to {MOST} filters, each named by a letter of its own: {names}")
     bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions.values())]
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"), words(text).alias("words"))
-    slim = split.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits, F.lit(0)).alias("mask"))
+    split_up = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("text"), words(text).alias("words"))
+    slim = split_up.select("id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits, F.lit(0)).alias("mask"))
     rows = materialise(slim, "audited")
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("least"), F.count("id").alias("n")).filter("n > 1").select("digest", "least")
-    flagged = rows.join(firsts, "digest", "left").select("id", "part", (F.col("mask") + F.when(F.col("id") > F.col("least"), 1 << len(conditions)).otherwise(0)).alias("mask"))
     one = lambda c: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False)).cast("long")
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(one("quality").alias("good"), one("toxic").alias("toxic"))
-    out = flagged.join(known, "id", "left").groupBy("part", "mask").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
+    keys = ["digest", "part", "mask", "good", "toxic"]
+    per_id = rows.join(known, "id", "left").fillna(0, ["good", "toxic"]).groupBy("id", *keys).agg(F.count(F.lit(1)).alias("n"))
+    summed = per_id.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.lit(0)).alias("ids"), F.min("id").alias("least"), F.min_by("n", "id").alias("firsts"))
+    least = summed.groupBy("digest").agg(F.min("least").alias("of_all"))
+    late = F.col("ids") - F.when(F.col("least") == F.col("of_all"), F.col("firsts")).otherwise(0)
+    split = summed.join(least, "digest").select("part", "mask", "good", "toxic", (F.col("n") - late).alias("first"), late.alias("late"))
+    bit = 1 << len(conditions)
+    each = split.select("part", "good", "toxic", F.inline(F.array(F.struct(F.col("mask"), F.col("first").alias("n")), F.struct((F.col("mask") + bit).alias("mask"), F.col("late").alias("n"))))).filter("n > 0")
+    out = each.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
     counts = materialise(out, "audit_counts")
     discard(rows)
     return names, counts
