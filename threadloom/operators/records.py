@@ -26,19 +26,23 @@ def leaves(df: DataFrame, doc: str, depth: int) -> DataFrame:
     out. A document that is no object has no rows.
     """
     rest = [c for c in df.columns if c != doc]
-    step = lambda path, v, more: F.struct(path.alias("path"), v.alias("v"), more.alias("open"))
-    out = df.select(*rest, F.array(step(F.array().cast("array<string>"), F.col(doc), F.lit(True))).alias("each"))
-    for level in range(depth + 1):
-        out = out.select(*rest, F.explode("each").alias("x")).select(*rest, "x.*").withColumn("m", F.when(F.col("open"), fields(F.col("v"))))
-        if level == 0:
-            out = out.filter("m IS NOT NULL")
-        if level == depth:  # what is still open is a leaf
-            break
-        ended = step(F.array_append("path", F.lit(None).cast("string")), F.lit(None).cast("variant"), F.lit(False))
-        below = F.transform(F.map_entries("m"), lambda e: step(F.array_append("path", e["key"]), e["value"], F.lit(True)))
-        out = out.select(*rest, F.when(F.col("m").isNotNull(), F.concat(F.array(ended), below)).otherwise(F.array(step(F.col("path"), F.col("v"), F.lit(False)))).alias("each"))
-    marker = F.element_at("path", -1).isNull()
-    return out.filter(marker | ~F.is_variant_null("v")).select(*rest, "path", F.when(~marker, F.to_json("v")).alias("value"))
+    row = lambda path, value: F.array(F.struct(path.alias("path"), value.alias("value")))
+    none = F.lit(None).cast("string")
+
+    def walk(path: Column, v: Column, level: int) -> Column:
+        """The leaves of v as one array; an object is taken apart by one lookup, and what is none becomes a leaf."""
+        leaf = row(path, F.when(~F.is_variant_null(v), F.to_json(v)))
+        if level == depth:
+            return leaf
+        members = F.map_entries(fields(v))
+        below = F.flatten(F.transform(members, lambda e: walk(F.array_append(path, e["key"]), e["value"], level + 1)))
+        return F.coalesce(F.concat(row(F.array_append(path, none), F.lit("")), below), leaf)
+
+    first = F.map_entries(fields(F.col(doc)))
+    each = F.concat(row(F.array(none), F.lit("")), F.flatten(F.transform(first, lambda e: walk(F.array(e["key"]), e["value"], 1))))
+    # the outer form, since Spark would evaluate the array once more to drop rows without any
+    out = df.select(*rest, F.explode_outer(each).alias("x")).filter("x.value IS NOT NULL")
+    return out.select(*rest, "x.path", F.when(F.element_at("x.path", -1).isNotNull(), F.col("x.value")).alias("value"))
 
 
 def _written(entries: Column) -> Column:
