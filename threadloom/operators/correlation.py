@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -133,6 +135,42 @@ def hamming_links(hashes: DataFrame, distance: int) -> DataFrame:
     return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), far.cast("int").alias("bits")).unionByName(alike)
 
 
+def probe_plan(distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of blocks of a 64-bit hash such that hashes within distance are within radius in one block at least.
+
+    If two hashes lay beyond the radius in every block, they would differ in the sum of (radius + 1) bits; the
+    radii make that distance + 1. Four blocks of 16 bits ask for 68 values of 65,536 at most up to a distance of 7; up
+    to 11 three blocks of 21 or 22 bits ask for more values, of which far fewer are met; beyond, four again.
+    """
+    if not 0 <= distance < 32:
+        raise ValueError("distance lies between 0 and 31")
+    blocks = min(3 if 7 < distance <= 11 else 4, distance + 1)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    spare = distance + 1 - blocks  # to be shared out as radii
+    return [(edges[i], edges[i + 1] - edges[i], spare // blocks + (i < spare % blocks)) for i in range(blocks)]
+
+
+def hamming_search(stored: DataFrame, asked: DataFrame, distance: int) -> DataFrame:
+    """h, g, bits: each distinct hash h of stored(h) with each g of asked(g) from which it differs in distance of 64 bits or fewer; none is lost.
+
+    Only the asked side is multiplied, by the values around each of its blocks; a stored hash has a row per block.
+    Equal hashes are one on either side. Nulls are like nothing.
+    """
+    plan = probe_plan(distance)
+    block = lambda x, lo, n: F.shiftrightunsigned(x, lo).bitwiseAND(F.lit((1 << n) - 1)) if n < 64 else x
+    have = stored.filter("h IS NOT NULL").select("h").distinct()
+    have = have.select("h", F.posexplode(F.array(*(block(F.col("h"), lo, n) for lo, n, _ in plan))).alias("i", "part"))
+    wanted = asked.filter("g IS NOT NULL").select("g").distinct()
+
+    def around(lo: int, n: int, radius: int) -> Column:
+        masks = [sum(1 << b for b in on) for k in range(radius + 1) for on in combinations(range(n), k)]
+        return F.transform(F.lit(masks).cast("array<long>"), lambda m: block(F.col("g"), lo, n).bitwiseXOR(m))
+
+    probes = wanted.select("g", F.posexplode(F.array(*(around(*b) for b in plan))).alias("i", "parts")).select("g", "i", F.explode("parts").alias("part"))
+    far = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
+    return have.join(probes, ["i", "part"]).filter(far <= distance).select("h", "g", far.cast("int").alias("bits")).distinct()
+
+
 def sign_hash(vector: Column) -> Column:
     """64 bits from the signs of a vector of 64 numbers, the first the highest."""
     return F.aggregate(F.transform(vector, lambda v: F.when(v > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda h, b: F.shiftleft(h, 1).bitwiseOR(b))

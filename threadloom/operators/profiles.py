@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.config import Scoring
 from threadloom.functions import text as X
 from threadloom.operators import graph
-from threadloom.operators.correlation import hamming_links
+from threadloom.operators.correlation import hamming_search
 
 # Titles that tell nothing, as normalize_title() leaves them.
 GENERIC_TITLES = (
@@ -24,9 +24,7 @@ def similar_hashes(profiles: DataFrame, seeds: DataFrame, column: str, least: fl
     """host: hosts of profiles(host, column) whose 64-bit hash is alike, by least or more, to that of any of seeds(host). Null hashes are like nothing."""
     known = profiles.filter(F.col(column).isNotNull()).select("host", F.col(column).alias("h"))
     wanted = known.join(seeds, "host", "left_semi").select("h").distinct()
-    each = known.select("h").distinct().withColumn("id", F.col("h"))
-    close = hamming_links(each, math.floor(64 * (1 - least) + 1e-9)).select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("b").alias("g")), F.struct(F.col("b").alias("h"), F.col("a").alias("g")))).alias("p")).select("p.*")
-    met = close.join(wanted.withColumnRenamed("h", "g"), "g", "left_semi").select("h").unionByName(wanted).distinct()
+    met = hamming_search(known, wanted.withColumnRenamed("h", "g"), math.floor(64 * (1 - least) + 1e-9)).select("h").distinct()
     return known.join(met, "h", "left_semi").join(seeds, "host", "left_anti").select("host")
 
 
@@ -102,23 +100,13 @@ def page_matches(profiles: DataFrame, uploaded: DataFrame, least: float = 0.90)
 def look_alikes(stored: DataFrame, uploaded: DataFrame, least: float, kinds: tuple[str, ...] = ("phash", "dhash")) -> DataFrame:
     """upload, host, similarity: hosts of stored(host, 64-bit hashes) whose hash of any kind is alike by least or more to that of uploaded(upload, the same hashes); the best similarity of both.
 
-    Hashes meet by equal bytes: of eight, one differs in an eighth of the allowed bits at most, so an upload
-    asks for its own byte and all within that many bits, which loses no match. Only the uploads' side grows
-    with the distance, from 8 rows a hash to 72 below 0.88 and 296 below 0.75. A null hash is like nothing.
+    Hashes meet as hamming_search() says, which loses no match; equal hashes meet once. A null hash is like nothing.
     """
     distance = math.floor(64 * (1 - least) + 1e-9)
-    masks = [m for m in range(256) if m.bit_count() <= distance // 8]
-    byte = lambda h, i: F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(255).cast("long"))
     out = None
     for c in kinds:
-        have = stored.filter(F.col(c).isNotNull()).select("host", F.col(c).alias("h"))
-        have = have.select("host", "h", F.posexplode(F.array(*(byte(F.col("h"), i) for i in range(8)))).alias("i", "part"))
-        ask = uploaded.filter(F.col(c).isNotNull()).select("upload", F.col(c).alias("g"))
-        ask = ask.select("upload", "g", F.posexplode(F.array(*(byte(F.col("g"), i) for i in range(8)))).alias("i", "own"))
-        near = F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col("own").bitwiseXOR(m))
-        ask = ask.select("upload", "g", "i", F.explode(near).alias("part"))
-        far = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
-        met = have.join(ask, ["i", "part"]).filter(far <= distance).select("upload", "host", (1 - far / 64).alias("similarity"))
+        have, ask = stored.filter(F.col(c).isNotNull()).select("host", F.col(c).alias("h")), uploaded.filter(F.col(c).isNotNull()).select("upload", F.col(c).alias("g"))
+        met = hamming_search(have, ask, distance).join(have, "h").join(ask, "g").select("upload", "host", (1 - F.col("bits") / 64).alias("similarity"))
         out = met if out is None else out.unionByName(met)
     return out.groupBy("upload", "host").agg(F.max("similarity").alias("similarity"))
 
