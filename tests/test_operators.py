@@ -87,6 +87,8 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.awaitTermination()
     want = {(r.provider, r.day, r.calls, r.errors) for r in events.daily(d).collect()}
     assert {(r.provider, r.day, r.calls, r.errors) for r in spark.table("daily").collect()} == want
+    spark.conf.set(*events.STATE_STORE)
     q = events.failure_state(stream, down_at=2).writeStream.outputMode("update").format("memory").queryName("health").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.provider, r.failures, r.health) for r in spark.table("health").collect()} == {("p", 0, "healthy"), ("q", 0, "healthy")}
+    spark.conf.unset(events.STATE_STORE[0])

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "threadloom", **conf: str) -> SparkSession:
-    """A session with the settings that the operators expect: UTC, AQE, later map entries win. Given settings go first."""
+    """A session with the settings that the operators expect: UTC, AQE, later map entries win, RocksDB for streams with state. Given settings go first."""
     defaults = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
+    defaults["spark.sql.streaming.stateStore.providerClass"] = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     builder = SparkSession.builder.appName(name)
     for k, v in (defaults | conf).items():
         builder = builder.config(k, v)
