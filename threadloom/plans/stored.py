@@ -1,13 +1,14 @@
-"""Registered queries over artifacts, timelines and caches, each with the SQL that says the same."""
+"""Registered queries over artifacts, timelines, caches and clusters kept up to date, each with the SQL that says the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import artifacts
-from threadloom.plans.queries import query
+from threadloom.operators import artifacts, incremental
+from threadloom.plans.queries import DISTINCT, GROUPED, query
 from threadloom.sources import driver
+from threadloom.spark import materialise
 from threadloom.streaming import events
 
 ITEMS = """WITH items AS (
@@ -70,3 +71,17 @@ def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
     told = e.select(n.alias("seq"), F.col("event_type").alias("provider"), F.concat(F.lit("k"), F.col("user_id") % 20).alias("key"), at.alias("at"), F.when(n % 5 == 0, "put").when(n % 17 == 0, "purge").otherwise("get").alias("op"), n.cast("string").alias("value"), (at + 3600 * (n % 7)).alias("expires_at"))
     return events.cache_outcomes(told)
+
+
+@query(GROUPED + """, named AS (SELECT r.id AS node, min(root) AS c FROM reach r GROUP BY r.id)
+SELECT min(node) AS least, count(*) AS nodes, sha256(string_agg(node, ',' ORDER BY node)) AS members FROM named GROUP BY c""")
+def incremental_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint edges in five batches by their id, each absorbed by the clusters of those before it."""
+    edges = materialise(driver.relationships(spark, d).filter(F.col("type").isin(*DISTINCT)).select("id", F.col("source").alias("u"), F.col("target").alias("v")), "edges")
+    labels, tombstones = incremental.empty(spark)
+    for batch in range(5):
+        part = edges.filter(F.pmod(F.crc32("id"), F.lit(5)) == batch)
+        added, tombstones = incremental.absorb(labels, tombstones, part, batch)
+        labels = labels.unionByName(added)
+    now = incremental.current(labels, tombstones)
+    return now.groupBy("cluster").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_list("node")), ","), 256).alias("members")).drop("cluster")
