@@ -3,7 +3,7 @@
 Every token is a unit: each word that training has LEAST times or more by itself, any other by its last
 three bytes, if that ending is among the ENDINGS most frequent, or else the one remaining unit. Bigrams of
 units are counted over the whole training text, and exchange clustering moves each unit to the class under
-which these counts are likeliest, all units of one half in a round, until neither half moves or ROUNDS end. Then
+which these counts are likeliest, all units of one half in a round; a round that lowers the objective is taken back, and rounds end when they gain less than GAIN. Then
 P(word | previous) = P(class | previous class) * P(word | class), the first by counts of class bigrams that
 shrink to the class's share, the second by (c + 0.5) / (N + 0.5 * (V + 1)) within the class, so unknown
 words have a share of every class.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialise, parts, row_key, texts_in_small_batches
 
-ENDINGS, CLASSES, ROUNDS = 500, 48, 10
+ENDINGS, CLASSES = 500, 48
+#: The exchange ends when a round of each half has gained less than this share of the objective, after so many halvings of what moves at once, or after so many rounds.
+GAIN, SHARES, ROUNDS = 0.001, 3, 30
 #: A word that training has so often is a unit by itself.
 LEAST = 5
 #: Words whose counts are sent to every task: at most so many rows of a word and a number.
@@ -241,16 +243,26 @@ def best_classes(table: np.ndarray, own: np.ndarray, after: np.ndarray, before:
     return (got - after.sum(1, keepdims=True) * np.log(leaving) - before.sum(1, keepdims=True) * np.log(entering)).argmax(1)
 
 
-def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit. near is of neighbours(), with units below size; the driver holds two bytes a unit.
+def objective(table: np.ndarray) -> float:
+    """The log-likelihood (natural) of class bigrams under the transitions that they make themselves, half a bigram added to each."""
+    t = table + 0.5
+    return float((t * np.log(t)).sum() - (t.sum(1) * np.log(t.sum(1))).sum() - (t.sum(0) * np.log(t.sum(0))).sum())
 
-    Each round sums every unit's bigrams by the class on the other side and moves each to its best class, with
-    the other units where they were. One half moves at a time; when neither has moved, the rounds end.
+
+def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = ROUNDS, gain: float = GAIN) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The class of each unit, the class bigrams, and the objective after each round. near is of neighbours(), with units below size; the driver holds some bytes a unit.
+
+    Each round sums every unit's bigrams by the class on the other side and finds its best class, with the other
+    units where they were. One half moves at a time. Moves that are good one by one can be bad together, so the
+    objective is computed from the new bigrams: a round that lowers it is taken back, and from then on half as many
+    units, chosen by a hash of unit and round, move at once. So the objective never falls from one kept state to
+    the next. The rounds end when two kept rounds running, one of each half, have gained less than gain of the objective
+    together, when so few move that SHARES halvings have passed, or after rounds.
     """
     of = np.minimum(np.arange(size), classes - 1).astype(np.uint8 if classes <= 256 else np.int32)  # the most frequent units begin with a class of their own
-    still = 0
+    table = class_bigrams(near, of, classes)
+    told, share, last = [objective(table)], 1.0, []
     for r in range(rounds):
-        table = class_bigrams(near, of, classes)
         given = near.sparkSession.sparkContext.broadcast(of)
 
         def move(batches, table=table, given=given):
@@ -263,13 +275,28 @@ def exchange(near: DataFrame, size: int, classes: int = CLASSES, rounds: int = R
 
         turn = near.filter(F.col("unit") >= classes) if r == 0 else near.filter(F.col("half") != r % 2) if r > 1 else near
         moved = turn.drop("half").mapInArrow(move, "unit int, class int").toArrow()  # a row per unit
-        old = of.copy()
-        of[moved["unit"].to_numpy()] = moved["class"].to_numpy()
         given.destroy()
-        still = still + 1 if (of == old).all() else 0
-        if still == 2:
+        unit, new = moved["unit"].to_numpy().astype(np.int64), moved["class"].to_numpy()
+        if share < 1:
+            some = (unit * 2654435761 + r * 40503 >> 9) % 1024 < share * 1024
+            unit, new = unit[some], new[some]
+        tried = of.copy()
+        tried[unit] = new
+        found = table if (tried == of).all() else class_bigrams(near, tried, classes)
+        value = objective(found)
+        if value < told[-1]:
+            share /= 2
+            told.append(told[-1])
+            last = []
+            if share < 0.5**SHARES:
+                break
+            continue
+        last = [*last[-1:], value - told[-1]]
+        of, table = tried, found
+        told.append(value)
+        if r > 1 and len(last) == 2 and sum(last) <= gain * abs(value):
             break
-    return of
+    return of, table, told
 
 
 def _most_frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -310,8 +337,7 @@ def fit(train: DataFrame, head: int = HEAD, units: int | None = None, endings: i
     tails = seldom.groupBy(F.expr("substring(w, -3, 3)").alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(endings)
     ends = [bytes(r.e) for r in tails.collect()]
     near = materialise(neighbours(train, words, ends), "neighbours")
-    of = exchange(near, len(words) + len(ends) + 1, classes, rounds)
-    table = class_bigrams(near, of, classes)
+    of, table, _ = exchange(near, len(words) + len(ends) + 1, classes, rounds)
     given = train.sparkSession.sparkContext.broadcast((words, ends, of))
 
     def spread(batches):
