@@ -124,15 +124,15 @@ def unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return values, bounds - lo
 
 
-#: Pairs of one unit that a task of neighbours() holds before it sums equal ones.
-FOLD = 4_000_000
+#: Pairs of one unit that a task of neighbours() holds before it sums equal ones, and tokens whose pairs it sums before the shuffle.
+FOLD, SUMMED = 4_000_000, 4_500_000
 
 
 def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> DataFrame:
     """unit, half, after, after_n, before, before_n: of each unit how often each other unit follows and precedes it. A text's first token follows an end.
 
     after and before are packed() int32 units, after_n and before_n packed() int64 counts; half splits the units in two.
-    Every two million tokens of a task are summed by pair before the shuffle, and a unit's sums go as one row, so a frequent
+    Every SUMMED tokens of a task are summed by pair before the shuffle, and a unit's sums go as one row, so a frequent
     unit's list stays below the number of units.
     """
     given = train.sparkSession.sparkContext.broadcast((words, endings))
@@ -141,7 +141,10 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
         units = Units(*given.value)
 
         def counted(u):
-            key, n = np.unique(u[:-1] * units.size + u[1:], return_counts=True)
+            key = u[:-1].astype(np.int64)
+            key *= units.size
+            key += u[1:]
+            key, n = np.unique(key, return_counts=True)
             u, v, n = (key // units.size).astype(np.int32), (key % units.size).astype(np.int32), n.astype(np.int32)
             back = np.argsort(v)
             for side, unit, other, k in ((0, u, v, n), (1, v[back], u[back], n[back])):
@@ -149,12 +152,12 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
                 bounds = np.append(first, len(unit))
                 yield pa.RecordBatch.from_arrays([pa.array(unit[first]), pa.array(np.full(len(first), side, np.int8)), packed(other, bounds), packed(k, bounds)], names=["unit", "side", "other", "n"])
 
-        rows, n = [np.zeros(1, np.int64)], 0
+        rows, n = [np.zeros(1, np.int32)], 0
         for batch in batches:
             for part in parts(batch, 0):
-                rows.append(np.array(units.of([w for t in part.column(0).to_pylist() for w in tokens(t)]), np.int64))
+                rows.append(np.array(units.of([w for t in part.column(0).to_pylist() for w in tokens(t)]), np.int32))
                 n += len(rows[-1])
-                if n > 2_000_000:
+                if n > SUMMED:
                     yield from counted(np.concatenate(rows))
                     rows, n = rows[:1], 0
         yield from counted(np.concatenate(rows))
