@@ -25,6 +25,7 @@ TECHNOLOGIES = {
     "wordpress": r"wp-content|wp-includes", "jquery": r"jquery(?:\.min)?\.js", "react": r"react(?:-dom)?(?:\.production)?(?:\.min)?\.js|__NEXT_DATA__|data-reactroot",
     "bootstrap": r"bootstrap(?:\.min)?\.(?:css|js)", "cloudflare": r"cdn-cgi/|cf-ray|__cf_bm", "php": r"\.php\b",
 }
+# E-mail addresses and wallets in a page.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\b"
 WALLET = r"\b(?:bc1[a-z0-9]{25,60}|[13][a-km-zA-HJ-NP-Z1-9]{25,34}|0x[a-fA-F0-9]{40}|T[A-Za-z1-9]{33})\b"
 # Patterns and weights of a page that was taken down, is parked, or is inactive.
@@ -55,6 +56,7 @@ INACTIVE = [
     (r"default (?:web )?page", 30), (r"index of /", 20),
 ]
 
+# What tells parked, held, taken-down and unreachable hosts.
 PARKING_NAMESERVERS = r"(?i)sedoparking|parkingcrew|bodis|above\.com|parklogic|dan\.com|afternic|hugedomains|cashparking|domaincontrol\.com\.parked|parking|undeveloped|ztomy|park\."
 MARKUP_TAKEDOWN = r"(?i)cgi-sys/suspendedpage|/suspended\.page|account-suspended"
 MARKUP_PARKING = r"(?i)sedoparking\.com|parkingcrew\.net|bodis\.com|park\.above\.com|afternic\.com|dan\.com/|hugedomains\.com|parklogic\.com|img\.sedoparking|domainmarket\.com|cashparking"
@@ -112,6 +114,7 @@ def visible_text(html: Column) -> Column:
 
 # The meta entries that are kept.
 META = ("description", "keywords", "generator", "author", "robots", "application-name", "og:title", "og:site_name", "og:description", "og:url", "og:image", "twitter:title", "twitter:site", "theme-color", "refresh")
+# Redirects that a page asks for.
 REFRESH = r"(?i)<meta[^>]+http-equiv=[\"']?refresh[\"']?[^>]*content=[\"']?\s*\d+\s*;\s*url=([^\"'>\s]+)"
 SCRIPTED = r"(?i)(?:\blocation(?:\.href)?\s*=\s*|\blocation\.replace\()[\"']([^\"']+)[\"']"
 
