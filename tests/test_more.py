@@ -1,4 +1,5 @@
 import os
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,19 @@ def test_skeleton_and_brand_words(spark):
     assert titles.limit(1).select(brand.infer_brand(F.lit("@acme "), F.col("v")).alias("b")).first().b == "acme"
 
 
+def test_labels_in_punycode_and_with_accents(spark):
+    """Decoding against the standard library's, and what is left of letters with marks, ligatures, full-width and mathematical forms."""
+    random = Random(5)
+    words = ["".join(random.choice("abcrn01éàöñçłазбуканοα漢字한글😀-") for _ in range(random.randint(1, 18))) for _ in range(400)]
+    coded = {w: "xn--" + w.encode("punycode").decode() for w in words if not w.isascii()}
+    got = {r.v: r.u for r in column(spark, *coded.values()).select("v", brand.unicode_label(F.col("v")).alias("u")).collect()}
+    assert all(got[c] == w for w, c in coded.items())
+    malformed = ["xn--", "xn--abc-", "xn--99999999", "xn--zzzzzzzzzzzzzz", "xn--a_b-1", "xn--" + "straße".encode("punycode").decode(), "plain", "", None]
+    assert all(r.v == r.u for r in column(spark, *malformed).select("v", brand.unicode_label(F.col("v")).alias("u")).collect())
+    cases = {"xn--pypal-4ve": "paypal", "Crédit-Agricolé": "creditagricole", "ﬁnance": "finance", "ｐａｙ": "pay", "r\u0301n": "m", "𝐩𝐚𝐲": "pay", "漢字": "", None: None}
+    assert {r.v: r.s for r in column(spark, *cases).select("v", brand.skeleton(F.col("v")).alias("s")).collect()} == cases
+
+
 def test_brand_assessment(spark):
     no, none = F.lit(False), F.lit(None).cast("string")
 
