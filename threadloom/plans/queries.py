@@ -39,7 +39,7 @@ WITH RECURSIVE prints AS (
   SELECT substr(sha256(type || '|' || value), 1, 24) AS id, * FROM bare
 ), links AS (
   SELECT substr(sha256('domain|supplier-' || l_suppkey || '.example'), 1, 24) AS source, relation AS type, substr(sha256(p.type || '|part-' || p_partkey), 1, 24) AS target, 'inv_' || (l_suppkey % 7) AS inv
-  FROM (SELECT l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, l_partkey) AS n FROM lineitem GROUP BY l_suppkey, l_partkey) l JOIN prints p ON l_partkey = p_partkey AND n <= 3
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l JOIN prints p ON l_partkey = p_partkey
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'RESOLVES_TO', substr(sha256('ip|10.0.0.' || CAST(floor(abs(s_acctbal) / 500) AS BIGINT)), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'BELONGS_TO_ASN', substr(sha256('asn|AS' || s_nationkey), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier
   UNION ALL SELECT substr(sha256('domain|supplier-' || s_suppkey || '.example'), 1, 24), 'HOSTED_ON', substr(sha256('hosting|region-' || n_regionkey), 1, 24), 'inv_' || (s_suppkey % 7) FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -287,8 +287,10 @@ def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 
 DISTINCT = tuple(RELATION_FEATURES)
-GROUPED = """, kept AS (SELECT source, target FROM edges WHERE type LIKE 'SHARES%' OR type = 'USES_CERTIFICATE'),
-both_ways AS (SELECT source AS a, target AS b FROM kept UNION SELECT target, source FROM kept),
+#: Fingerprints of up to 150 hosts link them; each host leads to the least host of each of its fingerprints, which keeps the closure among hosts.
+GROUPED = """, kept AS (SELECT source, target FROM edges WHERE type LIKE 'SHARES%' OR type = 'USES_CERTIFICATE' QUALIFY count(*) OVER (PARTITION BY target) <= 150),
+led AS (SELECT DISTINCT source, min(source) OVER (PARTITION BY target) AS least FROM kept),
+both_ways AS (SELECT source AS a, least AS b FROM led UNION SELECT least, source FROM led),
 reach AS (SELECT a AS id, a AS root FROM both_ways UNION SELECT b, root FROM reach JOIN both_ways ON id = a),
 placed AS (SELECT r.id AS host, min(root) AS c FROM reach r JOIN assets a ON r.id = a.id WHERE a.type IN ('domain', 'ip') GROUP BY r.id),
 operations AS (SELECT host, min(host) OVER (PARTITION BY c) AS root, count(*) OVER (PARTITION BY c) AS n FROM placed QUALIFY count(*) OVER (PARTITION BY c) > 1)"""

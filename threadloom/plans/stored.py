@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import artifacts, incremental
+from threadloom.operators import artifacts, correlation, incremental
 from threadloom.plans.queries import DISTINCT, GROUPED, query
 from threadloom.sources import driver
 from threadloom.spark import materialise
@@ -73,15 +73,18 @@ def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return events.cache_outcomes(told)
 
 
-@query(GROUPED + """, named AS (SELECT r.id AS node, min(root) AS c FROM reach r GROUP BY r.id)
-SELECT min(node) AS least, count(*) AS nodes, sha256(string_agg(node, ',' ORDER BY node)) AS members FROM named GROUP BY c""")
+@query(GROUPED + """, named AS (SELECT r.id AS node, min(root) AS c FROM reach r GROUP BY r.id), every AS (SELECT node, c FROM named UNION SELECT k.target, c FROM kept k JOIN named n ON k.source = n.node)
+SELECT node, min(node) OVER (PARTITION BY c) AS least, count(*) OVER (PARTITION BY c) AS nodes FROM every""")
 def incremental_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprint edges in five batches by their id, each absorbed by the clusters of those before it."""
-    edges = materialise(driver.relationships(spark, d).filter(F.col("type").isin(*DISTINCT)).select("id", F.col("source").alias("u"), F.col("target").alias("v")), "edges")
+    """Fingerprint edges in five batches by their id, each absorbed by the clusters of those before it; a row per node."""
+    distinct = driver.relationships(spark, d).filter(F.col("type").isin(*DISTINCT))
+    quiet = distinct.join(correlation.noisy_nodes(distinct, 150).select(F.col("node").alias("target")), "target", "left_anti")
+    edges = materialise(quiet.select("id", F.col("source").alias("u"), F.col("target").alias("v")), "edges")
     labels, tombstones = incremental.empty(spark)
     for batch in range(5):
         part = edges.filter(F.pmod(F.crc32("id"), F.lit(5)) == batch)
         added, tombstones = incremental.absorb(labels, tombstones, part, batch)
         labels = labels.unionByName(added)
-    now = incremental.current(labels, tombstones)
-    return now.groupBy("cluster").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes"), F.sha2(F.array_join(F.array_sort(F.collect_list("node")), ","), 256).alias("members")).drop("cluster")
+    now = materialise(incremental.current(labels, tombstones), "current")
+    least = now.groupBy("cluster").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("nodes"))
+    return now.join(least, "cluster").select("node", "least", "nodes")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import edge_id, node_id
@@ -63,10 +62,8 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint edges from lineitem (of each supplier the three parts with the greatest quantity in all its lines), host to IP and hosting, host to ASN. One row per (source, type, target)."""
-    most = W.partitionBy("l_suppkey").orderBy(F.desc("q"), "l_partkey")
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    lines = lines.withColumn("n", F.row_number().over(most)).filter("n <= 3").select("l_suppkey", "l_partkey")
+    """Fingerprint edges from lineitem (every distinct pair of supplier and part), host to IP and hosting, host to ASN. One row per (source, type, target)."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_type")
     prints = lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         node_id(F.lit("domain"), _host(F.col("l_suppkey"))).alias("source"), _pick(PART_KINDS, 1, F.col("p_type")).alias("type"),
