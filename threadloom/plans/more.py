@@ -278,6 +278,13 @@ def brand_scores(spark: SparkSession, d: str) -> DataFrame:
     return driver.read(spark, d, "part").select("p_partkey", found.alias("f")).select("p_partkey", "f.similarity", "f.impersonation")
 
 
+@query(f"""SELECT p_partkey, {SKELETON.format("strip_accents(label)")} AS skeleton FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lower(translate(p_name, 'aceinrsuyz', 'áčéïñřšüýž')) ELSE lower(p_name) END || '-' || lower(p_brand) AS label FROM part)""", domain=False)
+def label_skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts, a third of them with accents, as what they look like."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "aceinrsuyz", "áčéïñřšüýž")).otherwise(F.col("p_name"))
+    return driver.read(spark, d, "part").select("p_partkey", brand.skeleton(F.concat(name, F.lit("-"), "p_brand")).alias("skeleton"))
+
+
 @query(LOOKS + """SELECT host, CASE WHEN t THEN 'title' ELSE 'structure' END AS via FROM (SELECT o.host, bool_or(o.title = r.title) AS t, bool_or(bit_count(xor(o.html, r.html)) <= 6) AS h FROM others o JOIN roots r ON true GROUP BY o.host) WHERE t OR h""")
 def page_matches(spark: SparkSession, d: str) -> DataFrame:
     looks = materialise(driver.profiles(spark, d), "profiles")

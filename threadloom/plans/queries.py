@@ -345,8 +345,15 @@ def page_trackers(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("page_id", F.inline(P.trackers(F.col("html")))).select("page_id", "family", "type", "id")
 
 
-@query("""SELECT doc_id, CASE WHEN k = 0 THEN 'TAKEDOWN' WHEN k = 1 THEN 'PARKED' WHEN k = 2 THEN 'INACTIVE' WHEN k = 3 THEN 'ERROR' ELSE 'ACTIVE' END AS status, CASE WHEN k = 0 THEN 99 WHEN k = 1 THEN 85 WHEN k = 2 THEN 75 WHEN k = 3 THEN 60 WHEN w > 30 THEN 70 ELSE 55 END AS confidence
-FROM (SELECT doc_id, doc_id % 5 AS k, CASE WHEN len(string_split(text, ' ')) > 30 THEN 31 ELSE 1 END AS w FROM documents)""", domain=False)
+def _points(patterns) -> str:
+    """The points of patterns in the column low, as SQL."""
+    return " + ".join(f"CASE WHEN regexp_matches(low, '{p.replace(chr(39), 2 * chr(39))}') THEN {w} ELSE 0 END" for p, w in patterns)
+
+
+@query(f"""SELECT doc_id, CASE WHEN best < 50 THEN CASE WHEN code >= 500 THEN 'ERROR' ELSE 'ACTIVE' END WHEN down = best THEN 'TAKEDOWN' WHEN parked = best THEN 'PARKED' ELSE 'INACTIVE' END AS status,
+  CAST(CASE WHEN best >= 50 THEN least(99, 40 + best // 2) WHEN code >= 500 THEN 60 WHEN w > 30 THEN 70 ELSE 55 END AS INTEGER) AS confidence
+FROM (SELECT *, greatest(down, parked, gone) AS best FROM (SELECT doc_id, code, w, {_points(P.TAKEDOWN)} AS down, {_points(P.PARKED)} AS parked, {_points(P.INACTIVE)} + CASE WHEN code >= 500 THEN 30 ELSE 0 END AS gone
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 503 ELSE 200 END AS code, len(string_split(text, ' ')) AS w, lower(CASE doc_id % 5 WHEN 0 THEN 'This domain has been seized. ' WHEN 1 THEN 'This domain is for sale ' WHEN 2 THEN 'the requested url was not found ' ELSE '' END || coalesce(text, '')) AS low FROM documents)))""", domain=False)
 def content_verdict(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 5
     said = F.when(k == 0, "This domain has been seized. ").when(k == 1, "This domain is for sale ").when(k == 2, "the requested url was not found ").otherwise("")
