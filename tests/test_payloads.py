@@ -84,6 +84,6 @@ def test_look_alikes_lose_no_match(spark):
 
 
 def test_certificates_match_by_either_hash(spark):
-    stored = spark.createDataFrame([(1, "a", "k"), (2, "b", "k"), (3, None, None), (4, "a", "z")], "host int, certificate string, key string")
+    stored = spark.createDataFrame([(1, "domain", "a", "k"), (2, "ip", "b", "k"), (3, "domain", None, None), (4, "domain", "a", "z"), (5, "url", "a", "k"), (6, None, "a", "k")], "host int, type string, certificate string, key string")
     uploads = spark.createDataFrame([(9, "a", "k"), (8, None, None)], "upload int, certificate string, key string")
     assert {tuple(r) for r in profiles.certificate_matches(stored, uploads).collect()} == {(9, 1), (9, 2), (9, 4)}

@@ -112,6 +112,7 @@ def look_alikes(stored: DataFrame, uploaded: DataFrame, least: float, kinds: tup
 
 
 def certificate_matches(stored: DataFrame, uploaded: DataFrame) -> DataFrame:
-    """upload, host: hosts of stored(host, certificate, key) with the certificate or the public key of uploaded(upload, certificate, key), each pair once. Nulls match nothing."""
-    by = lambda c: stored.select("host", c).join(uploaded.select("upload", c), c).select("upload", "host")
+    """upload, host: hosts (domain, ip) of stored(host, type, certificate, key) with the certificate or the public key of uploaded(upload, certificate, key), each pair once. Nulls match nothing."""
+    hosts = stored.filter(F.col("type").isin("domain", "ip"))
+    by = lambda c: hosts.select("host", c).join(uploaded.select("upload", c), c).select("upload", "host")
     return by("certificate").unionByName(by("key")).distinct()

@@ -349,8 +349,8 @@ def screenshot_matches(spark: SparkSession, d: str) -> DataFrame:
     return profiles.look_alikes(looks.join(roots, "host", "left_anti"), uploads, 0.82)
 
 
-@query("""SELECT u.p_partkey AS upload, count(*) AS hosts FROM part p JOIN part u ON u.p_partkey % 20 = 0 AND (p.p_partkey % 97 = u.p_partkey % 97 OR p.p_name = u.p_name) GROUP BY u.p_partkey""", domain=False)
+@query("""SELECT u.p_partkey AS upload, count(*) AS hosts FROM part p JOIN part u ON u.p_partkey % 20 = 0 AND (p.p_partkey % 97 = u.p_partkey % 97 OR p.p_name = u.p_name) WHERE p.p_partkey % 3 < 2 GROUP BY u.p_partkey""", domain=False)
 def certificate_matches(spark: SparkSession, d: str) -> DataFrame:
-    known = driver.read(spark, d, "part").select(F.col("p_partkey").alias("host"), (F.col("p_partkey") % 97).alias("certificate"), F.col("p_name").alias("key"))
+    known = driver.read(spark, d, "part").select(F.col("p_partkey").alias("host"), F.element_at(F.array(*map(F.lit, ("domain", "ip", "url"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("type"), (F.col("p_partkey") % 97).alias("certificate"), F.col("p_name").alias("key"))
     uploads = known.filter(F.col("host") % 20 == 0).withColumnRenamed("host", "upload")
     return profiles.certificate_matches(known, uploads).groupBy("upload").agg(F.count(F.lit(1)).alias("hosts"))
