@@ -191,6 +191,26 @@ def test_passages_are_told_and_long_texts_go_by_pieces(spark, monkeypatch, block
     assert {r.doc_id: tuple((s.a, s.b) for s in r.spans) for r in out} == dict(zip((i for i, _ in rows), want, strict=True))
 
 
+@pytest.mark.parametrize("words,most", [(40, 12), (75, 60)])
+def test_a_passage_of_very_many_texts_is_not_cut_into_all_its_strings(spark, monkeypatch, words, most):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    passage, rows, made = prose(words), [], {}
+    for i in range(60):
+        around = prose(90) if i % 5 or not i else around  # some have what stands before it in common too
+        rows.append((i, f"{around} {passage} {prose(90)}"))
+    write = suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, name: made.setdefault((name, len(made)), write(df, name)))
+    monkeypatch.setattr(suffix_dedup, "discard", lambda *tables: None)
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    want = spans_wanted([t.encode() for _, t in rows], 400)
+    assert [tuple((s.a, s.b) for s in r.spans) for r in sorted(out)] == want and any(want)
+    # with a row for each string there are more than a hundred of each block
+    blocks = sum(t.filter("n > 8").count() for (name, _), t in made.items() if name == "wanted")
+    assert blocks >= 30 and sum(t.count() for (name, _), t in made.items() if name in ("pieces", "strings")) <= most * blocks
+
+
 def test_long_text_has_the_shingles_of_its_pieces(monkeypatch):
     from threadloom.llm import shingles
 

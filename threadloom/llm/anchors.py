@@ -21,48 +21,50 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix((sums[GRAM:] - sums[:n]) * _power(pow(_Q, -1, 1 << 64), len(data) + 1)[:n])
 
 
-def _slide(f, x: np.ndarray, w: int, fill: int) -> np.ndarray:
-    """f (minimum or maximum) over x[i : i + w] for each i up to len(x) - w."""
-    n = len(x)
-    full = np.full(-(-n // w) * w, fill, x.dtype)
-    full[:n] = x
-    rows = full.reshape(-1, w)
-    ahead = f.accumulate(rows, axis=1).ravel()
-    back = f.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return f(back[: n - w + 1], ahead[w - 1 : n])
+def _least(x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum over x[i : i + w] for each i up to len(x) - w."""
+    n = 1
+    while 2 * n <= w:  # of n numbers each, then of twice as many
+        x, n = np.minimum(x[:-n], x[n:]), 2 * n
+    return np.minimum(x[: len(x) - w + n], x[w - n :])
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(positions, hashes, first, last) of the anchors of the texts that lie in data between bounds.
 
     The anchor of a string of length bytes is the first position with the least hash within it, so equal
     strings have theirs at equal offsets. The strings that start from first to last, and no others, have the
-    anchor at the position. Every string that lies within one text is in one such range.
+    anchor at the position. Every string that lies within one text is in one such range. h is gram_hashes(data), if known.
     """
-    h = gram_hashes(data)
+    h = gram_hashes(data) if h is None else h
     w = length - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(h) < w:
         return none, none.astype(np.uint64), none, none
-    least = _slide(np.minimum, h, w, 2**64 - 1)
-    inside = np.zeros(len(least) + 1, np.int64)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= length:
-            inside[a] += 1
-            inside[b - length + 1] -= 1
-    inside = np.cumsum(inside)[:-1] > 0
-    change = np.flatnonzero(np.diff(least) != 0) + 1
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8)) != 0) + 1
+    least = _least(h, w)
+    marks = np.zeros(len(least) + 1, np.int8)
+    long = bounds[1:] - bounds[:-1] >= length
+    marks[bounds[:-1][long]] += 1
+    marks[bounds[1:][long] - length + 1] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8) > 0
+    change = np.flatnonzero(least[1:] != least[:-1]) + 1
+    edge = np.flatnonzero(marks[1:-1]) + 1
     first = np.unique(np.concatenate(([0], change, edge, bounds[bounds < len(least)])))
     last = np.concatenate((first[1:], [len(least)])) - 1
     first, last = first[inside[first]], last[inside[first]]
     if not len(first):
         return none, none.astype(np.uint64), none, none
     names, name = np.unique(least[first], return_inverse=True)
-    padded = np.zeros(len(least) + 2 * (w - 1), np.uint64)
-    padded[w - 1 : w - 1 + len(least)] = np.where(inside, least, 0)
-    at = np.flatnonzero(_slide(np.maximum, padded, w, 0) == h)  # the least of some string
-    keys = np.searchsorted(names, h[at]) * len(data) + at
+    # few windows have a least hash above this; near those, more positions are looked at
+    low = np.uint64(min(2**64 - 1, 12 * 2**64 // w))
+    near = h <= low
+    for f, t in zip(first[least[first] > low].tolist(), last[least[first] > low].tolist(), strict=True):
+        near[f : t + w] = True
+    at = np.flatnonzero(near)
+    at = at[h[at] <= names[-1]]
+    spot = np.searchsorted(names, h[at])
+    met = names[spot] == h[at]  # the least of some string
+    keys = spot[met] * len(data) + at[met]
     keys.sort()
     out = []
     while len(first):  # a run of one least hash goes on past its first anchor where that hash stands again

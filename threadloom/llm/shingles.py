@@ -32,8 +32,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, bounds) of runs of texts of about BLOCK bytes; null is empty."""
+def blocks(column: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, bounds) of runs of texts of about size (BLOCK) bytes; null is empty."""
+    size = size or BLOCK
     column = column.fill_null("").cast(pa.large_string())
     if not len(column):
         return
@@ -42,7 +43,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.frombuffer(body, np.uint8) if body else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + BLOCK, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + size, "right")) - 1)
         yield data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
         lo = hi
 
