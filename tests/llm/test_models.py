@@ -127,6 +127,19 @@ def test_language_model_clusters_every_word_seen_often(spark):
     assert min(units.of([b"seldom", b"seen"])) >= 1601
 
 
+def test_words_are_told_apart_in_arrow(documents):
+    rng = random.Random(3)
+    texts = [t for _, t, *_ in documents] + ["A\u00a0b \x1c\x1f" + chr(0x85) + " " + " ".join("xY\u00e9\u65e5"[: rng.randint(1, 4)] * rng.randint(0, 30) for _ in range(300))]
+    for column in (pa.array(texts, pa.string()), pa.array(texts, pa.string())[3:-1], pa.array([], pa.string()), pa.array(["", None], pa.string())):
+        words, n = brown.split(column)
+        want = [brown.tokens(t) for t in column.to_pylist()]
+        assert n.tolist() == [len(t) for t in want] and words.to_pylist() == [w for t in want for w in t]
+        assert brown.word_keys(words).tolist() == brown.hashes(words.to_pylist()).tolist()
+        assert brown.word_keys(words[2:]).tolist() == brown.hashes(words.to_pylist()[2:]).tolist()
+    units = brown.Units(brown.hashes([b"", b"one", b"three"]), [b"ree", b"o", b"xyz"])
+    assert units.of([b"three", b"tree", b"o", b"oo", b"xyz", b"", b"one", b"ree"]) == [2, 3, 4, 6, 5, 0, 1, 3]
+
+
 def test_neighbours_against_brute_force(spark, docs, documents, monkeypatch):
     words, want = brown.hashes([brown.END, b"na", b"the", b"one"]), Counter()
     units = brown.Units(words, [b"ine"])

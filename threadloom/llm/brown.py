@@ -9,22 +9,23 @@ shrink to the class's share, the second by (c + 0.5) / (N + 0.5 * (V + 1)) withi
 words have a share of every class.
 
 Units are told by 64-bit hashes of their words, so a task holds nine bytes for each, its class with it; the
-neighbours of each unit stay in a table. Counts of all words stay in a table. The HEAD most frequent go to
+neighbours of each unit stay in a table. Words are cut, hashed and looked up a megabyte of text at a time, as Arrow arrays. Counts of all words stay in a table. The HEAD most frequent go to
 every task; of the others, which are counted over all data as well, the words of each document meet their
 counts in a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import materialise, parts, row_key, texts_in_small_batches
+from threadloom.llm.shingles import _FOLD, _SPACE
 
 ENDINGS, CLASSES = 500, 48
 #: The exchange ends when a round of each half has gained less than this share of the objective, after so many halvings of what moves at once, or after so many rounds.
@@ -50,32 +51,112 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
 
+def split(column: pa.Array) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The tokens() of all texts of the column in a row, and how many of them each text has."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, body = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    solid = np.zeros(len(data) + 2, bool)
+    np.logical_not(_SPACE[data], out=solid[1:-1])
+    first = np.zeros(len(data) + 1, bool)  # texts begin here
+    first[bounds] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | first[:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | first[1:])) + 1
+    until = np.searchsorted(starts, bounds[1:])
+    length = np.insert(ends - starts, until, 0)
+    at = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=at[1:])
+    words = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(_FOLD[data[solid[1:-1]]])])
+    return words, np.diff(until, prepend=0) + 1
+
+
+def _bytes(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of words (any 8 after them), and where each word begins (and the end)."""
+    _, offsets, body = words.buffers()
+    at = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(body, np.uint8)[at[0] : at[-1]] if body else np.zeros(0, np.uint8)
+    return np.concatenate((data, np.zeros(8, np.uint8))), at - at[0]
+
+
+def word_keys(words: pa.BinaryArray) -> np.ndarray:
+    """hashes() of words, all at once."""
+    import xxhash
+
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    data, bounds = _bytes(words)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    at, left = bounds[:-1].copy(), np.diff(bounds)
+    h = np.uint64(42) + p5 + left.astype(np.uint64)
+    long = np.flatnonzero(left >= 32)
+    for _ in range(3):
+        i = np.flatnonzero(left >= 8)
+        h[i] = turned(h[i] ^ turned(eights[at[i]] * p2, 31) * p1, 27) * p1 + p4
+        at[i] += 8
+        left[i] -= 8
+    i = np.flatnonzero(left >= 4)
+    h[i] = turned(h[i] ^ (eights[at[i]] & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+    at[i] += 4
+    left[i] -= 4
+    for k in range(3):
+        i = np.flatnonzero(left > k)
+        h[i] = turned(h[i] ^ data[at[i] + k] * p5, 11) * p1
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    for i in long.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[bounds[i] : bounds[i + 1]].tobytes(), 42)
+    return h.view(np.int64)
+
+
+def place(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each key stands among the known ones, which ascend; -1 if it does not."""
+    if not len(known):
+        return np.full(len(keys), -1)
+    order = np.argsort(keys)  # neighbours are looked for after one another
+    at = np.minimum(np.searchsorted(known, keys[order]), len(known) - 1)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.where(known[at] == keys[order], at, -1)
+    return out
+
+
+def _tails(words: pa.BinaryArray) -> np.ndarray:
+    """A number of each word's last three bytes, or of all if there are fewer."""
+    data, bounds = _bytes(words)
+    end, n = bounds[1:], np.minimum(np.diff(bounds), 3)
+    out = n << 24
+    for k in range(3):
+        out += np.where(n > k, data[np.maximum(end - 1 - k, 0)].astype(np.int64) << 8 * k, 0)
+    return out
+
+
 class Units:
-    """Maps tokens to units, of which words gives the hashes, the end's first, and remembers a bounded number of them."""
+    """Maps words to units, of which words gives the hashes, the end's first."""
 
     def __init__(self, words: np.ndarray, endings: list[bytes]):
         self.order = np.argsort(words)
         self.sorted = words[self.order]
-        self.endings = {e: i + len(words) for i, e in enumerate(endings)}
+        tails = _tails(pa.array(endings, pa.binary()))
+        self.by_tail = np.argsort(tails)
+        self.tails = tails[self.by_tail]
+        self.plain = len(words)
         self.size = len(words) + len(endings) + 1
-        self.memo: dict[bytes, int] = {END: 0}
-
-    def find(self, words: list[bytes]) -> list[int]:
-        h = hashes(words)
-        at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-        found = np.where(self.sorted[at] == h, self.order[at], -1).tolist()
-        return [u if u >= 0 else 0 if w == END else self.endings.get(w[-3:], self.size - 1) for w, u in zip(words, found, strict=True)]
 
     def of(self, words: list[bytes]) -> list[int]:
-        found = list(map(self.memo.get, words))
-        if None in found:
-            new = list({w for w, u in zip(words, found, strict=True) if u is None})
-            met = dict(zip(new, self.find(new), strict=True))
-            found = [met[w] if u is None else u for w, u in zip(words, found, strict=True)]
-            if len(self.memo) > 200_000:
-                self.memo = {}
-            self.memo.update((w, u) for w, u in met.items() if u < len(self.sorted))  # a seldom word hardly comes again
-        return found
+        return self.find(pa.array(words, pa.binary())).tolist()
+
+    def find(self, words: pa.BinaryArray, keys: np.ndarray | None = None) -> np.ndarray:
+        """The unit of each word; keys are its word_keys(), if known."""
+        at = place(word_keys(words) if keys is None else keys, self.sorted)
+        out = np.where(at >= 0, self.order[at], self.size - 1)
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            tail = place(_tails(words.take(pa.array(rest))), self.tails)
+            out[rest[tail >= 0]] = self.plain + self.by_tail[tail[tail >= 0]]
+        out[np.diff(_bytes(words)[1]) == 0] = 0  # the end
+        return out
 
 
 @dataclass
@@ -91,18 +172,28 @@ class Model:
     counts: DataFrame | None = None  # w, c of all words
 
 
+#: Tokens that a task of word_counts() sums before it hands them on.
+COUNTED = 1_000_000
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """w (bytes), c: every token of train(text), the end too."""
 
     def run(batches):
-        seen: Counter = Counter()
+        held, n = [], 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > 400_000:
-                    yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
-                    seen = Counter()
-        yield pa.RecordBatch.from_pydict({"w": pa.array(list(seen), pa.binary()), "c": pa.array(list(seen.values()), pa.int64())})
+            for part in parts(batch, 0):
+                held.append(split(part.column(0))[0])
+                n += len(held[-1])
+                if n > COUNTED:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held):
+        words, c = pa.concat_arrays(held).value_counts().flatten()
+        return pa.RecordBatch.from_arrays([words, c], names=["w", "c"])
 
     return train.mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -155,7 +246,8 @@ def neighbours(train: DataFrame, words: np.ndarray, endings: list[bytes]) -> Dat
         rows, n = [np.zeros(1, np.int32)], 0
         for batch in batches:
             for part in parts(batch, 0):
-                rows.append(np.array(units.of([w for t in part.column(0).to_pylist() for w in tokens(t)]), np.int32))
+                coded = split(part.column(0))[0].dictionary_encode()
+                rows.append(units.find(coded.dictionary).astype(np.int32)[coded.indices.to_numpy()])
                 n += len(rows[-1])
                 if n > SUMMED:
                     yield from counted(np.concatenate(rows))
@@ -347,7 +439,7 @@ def fit(train: DataFrame, head: int = HEAD, units: int | None = None, endings: i
         known = Units(*given.value[:2])
         tokens_of, words_of = np.zeros(classes), np.zeros(classes)
         for batch in batches:
-            c = given.value[2][known.of(batch.column(0).to_pylist())]
+            c = given.value[2][known.find(batch.column(0))]
             tokens_of += np.bincount(c, batch.column(1).to_numpy(), classes)
             words_of += np.bincount(c, minlength=classes)
         yield pa.RecordBatch.from_pydict({"class": pa.array(range(classes), pa.int32()), "n": pa.array(tokens_of.astype(np.int64)), "v": pa.array(words_of.astype(np.int64))})
@@ -366,32 +458,28 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null text is empty: the end alone. Rows that repeat id and text get the same figures. An empty table gives an empty result.
     """
     docs = texts_in_small_batches(docs)
-    given = docs.sparkSession.sparkContext.broadcast((model.words, model.endings, model.classes, model.transitions, model.denominators, model.head))
+    top = pa.array(list(model.head), pa.binary())
+    order = np.argsort(word_keys(top))
+    head = (word_keys(top)[order], np.log10(np.array(list(model.head.values()), float)[order] + 0.5), top.take(pa.array(order)))
+    given = docs.sparkSession.sparkContext.broadcast((model.words, model.endings, model.classes, model.transitions, model.denominators, head))
     base = np.log10(model.total + 0.5 * (model.distinct + 1))
 
     def run(batches):
         words, endings, classes, transitions, denominators, head = given.value
         units, end = Units(words, endings), classes[0]
-        own: dict[bytes, int] = {}  # a number of each word that was met, a bounded number of them
-        names: list[bytes] = []  # by it, as are c, the class, and known, log10 of the count or -1 for a word out of the head
-        c, known = np.zeros(0, classes.dtype), np.zeros(0)
+        keys, logs_of, top = head
         for batch in batches:
             for part in parts(batch, 2):
-                texts = [tokens(t) for t in part.column(2).to_pylist()]
-                ws = [w for t in texts for w in t]
-                if len(names) > 200_000:
-                    own, names, c, known = {}, [], c[:0], known[:0]
-                at = list(map(own.get, ws))
-                if None in at:
-                    new = list({w for w, i in zip(ws, at, strict=True) if i is None})
-                    own.update(zip(new, range(len(names), len(names) + len(new)), strict=True))
-                    names += new
-                    c = np.concatenate((c, classes[units.find(new)]))
-                    counts = np.array([head.get(w, -1) for w in new], float)
-                    known = np.concatenate((known, np.where(counts < 0, -1, np.log10(np.maximum(counts, 0) + 0.5))))
-                    at = [own[w] if i is None else i for w, i in zip(ws, at, strict=True)]
-                at = np.array(at, np.int64)
-                length = np.array([len(t) for t in texts])
+                words, length = split(part.column(2))
+                coded = words.dictionary_encode()
+                names, at = coded.dictionary, coded.indices.to_numpy()
+                hashed = word_keys(names)
+                c = classes[units.find(names, hashed)]
+                spot = place(hashed, keys)
+                known = np.full(len(names), -1.0)  # log10 of the count, or -1 for a word out of the head
+                met = np.flatnonzero(spot >= 0)
+                met = met[pa.compute.equal(names.take(pa.array(met)), top.take(pa.array(spot[met]))).to_numpy(zero_copy_only=False)]
+                known[met] = logs_of[spot[met]]
                 first = np.cumsum(length) - length
                 to = c[at]
                 before = np.concatenate(([end], to[:-1]))
@@ -401,9 +489,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 inside = logs >= 0
                 # of every text the words out of the head, each once with its number
                 outside = np.flatnonzero(~inside)
-                key, k = np.unique(np.repeat(np.arange(len(texts)), length)[outside] * len(names) + at[outside], return_counts=True)
-                bounds = np.searchsorted(key, np.arange(len(texts) + 1) * len(names))
-                rare = pa.StructArray.from_arrays([pa.array([names[i] for i in (key % len(names)).tolist()], pa.binary()), pa.array(k, pa.int64())], names=["w", "k"])
+                key, k = np.unique(np.repeat(np.arange(len(length)), length)[outside] * len(names) + at[outside], return_counts=True)
+                bounds = np.searchsorted(key, np.arange(len(length) + 1) * len(names))
+                rare = pa.StructArray.from_arrays([names.take(pa.array(key % len(names))), pa.array(k, pa.int64())], names=["w", "k"])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(length, pa.int64()), pa.array(np.add.reduceat(inside.astype(np.int64), first)), pa.array(np.add.reduceat(np.where(inside, logs, 0.0), first)), pa.array(path), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rare)],
                     names=["doc_id", "row", "n_tokens", "n_head", "shared", "own", "rare"])
