@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,18 @@ def test_verdict_query_reads_the_document(spark, tmp_path):
     assert {r.doc_id: r.status for r in queries.content_verdict(spark, str(tmp_path)).collect()} == {4: "TAKEDOWN", 9: "PARKED", 14: "ACTIVE", 5: "TAKEDOWN"}
 
 
+def test_verdict_query_reads_odd_texts_as_its_sql(spark, tmp_path):
+    """Letters beyond ASCII beside a word, line ends within a pattern, and letters that change their length."""
+    said = ["la sedoñiear", "ésedo sedoé", "sedo_ _sedo", "sedo1", "ñsedo.", "404\r not found", "404\u2028not found", "404\u0085not found", "404\nnot found", "é404é not found", "not found 404",
+        "SİTE NOT FOUND", "İNDEX OF /", "INDEX OF /", "ñdomain expired", "domain expiredñ", "clientholdß", "\u212aclienthold", "", " ", None, "a " * 40, "404" + "x" * 41 + "not found", "404" + "\U0001f600" * 40 + "not found", "dan.com", "danxcom"]
+    rows = [(5 * i + 4, s) for i, s in enumerate(said)] + [(5 * i + 8, s) for i, s in enumerate(said)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(f"SELECT doc_id, status, confidence FROM ({queries.ORACLE_SQL['content_verdict']})").fetchall()
+    assert sorted(tuple(r) for r in queries.content_verdict(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_scoring_is_validated():
     with pytest.raises(ValueError):
         Scoring({"colour": 1.0})
