@@ -87,3 +87,15 @@ def test_certificates_match_by_either_hash(spark):
     stored = spark.createDataFrame([(1, "domain", "a", "k"), (2, "ip", "b", "k"), (3, "domain", None, None), (4, "domain", "a", "z"), (5, "url", "a", "k"), (6, None, "a", "k")], "host int, type string, certificate string, key string")
     uploads = spark.createDataFrame([(9, "a", "k"), (8, None, None)], "upload int, certificate string, key string")
     assert {tuple(r) for r in profiles.certificate_matches(stored, uploads).collect()} == {(9, 1), (9, 2), (9, 4)}
+
+
+def test_certificate_matches_are_counted_without_pairs(spark):
+    """A certificate that 20,000 hosts and as many uploads share would be 400 million pairs."""
+    stored = spark.createDataFrame([(1, "domain", "a", "k"), (2, "ip", "b", "k"), (3, "domain", None, None), (4, "domain", "a", "z"), (5, "url", "a", "k"), (6, None, "a", "k"), (7, "ip", "c", None)], "host int, type string, certificate string, key string")
+    uploads = spark.createDataFrame([(9, "a", "k"), (8, None, None), (10, None, "k"), (11, "c", None), (12, "q", "q")], "upload int, certificate string, key string")
+    pairs = profiles.certificate_matches(stored, uploads).groupBy("upload").count()
+    counts = profiles.certificate_match_counts(stored, uploads)
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in pairs.collect()} == {(9, 3), (10, 2), (11, 1)}
+    many = spark.range(20_000).selectExpr("id AS host", "'ip' AS type", "'a' AS certificate", "CAST(id % 7 AS STRING) AS key")
+    found = profiles.certificate_match_counts(many, many.withColumnRenamed("host", "upload"))
+    assert found.agg(F.count("hosts"), F.min("hosts"), F.max("hosts")).first() == (20_000, 20_000, 20_000)
