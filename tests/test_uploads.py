@@ -79,6 +79,41 @@ def test_page_matches(spark):
     assert {(r.id, r.via) for r in uploads.page_matches(stored, asked, most=1).collect()} == {(1, "tracking_id"), (3, "structure")}
 
 
+def test_page_matches_of_common_trackers_and_titles(spark):
+    """Every upload shares two trackers and its title with thousands of assets: all are ranked, and few meet."""
+    kinds = "trackers array<string>, title_hash string, html long"
+    stored = spark.range(3000).select((2999 - F.col("id")).alias("id"), F.array(F.when(F.col("id") % 2 == 0, "a").otherwise("b"), F.when(F.col("id") % 5 == 0, "c")).alias("trackers"), F.concat(F.lit("t"), F.col("id") % 2).alias("title_hash"), F.lit(None).cast("long").alias("html"))
+    asked = spark.createDataFrame([(u, ["b", "c", None, ""], "t0", None) for u in range(200)], f"upload long, {kinds}")
+    df = uploads.page_matches(stored.unionByName(stored.limit(50)), asked, most=30)
+    rows = [(r.id, [t for t in r.trackers if t in ("b", "c")], r.title_hash) for r in stored.collect()]
+    tracked = sorted((i, t) for i, t, _ in rows if t)[:30]
+    want = {i: ("tracking_id", tuple(sorted(t))) for i, t in tracked}
+    got = df.collect()
+    for u in range(200):
+        mine = {r.id: (r.via, tuple(r.shared)) for r in got if r.upload == u}
+        assert {k: v for k, v in mine.items() if v[0] == "tracking_id"} == want
+    joined = [int(n) for n in rows_joined(df)]
+    assert max(joined) < 100_000  # 340,000 of trackers and 300,000 of titles before
+
+
+def rows_joined(df):
+    """Output rows of the joins of the plan that ran last."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if "JoinExec" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
 def test_brand_references(spark):
     rows = [(3, "Acme", True, 1), (1, "ACME", True, 2), (2, "acme", False, 3), (4, "other", True, 4)]
     assert [r.id for r in uploads.brand_references(spark.createDataFrame(rows, "id long, brand string, reference boolean, h long"), " aCme ").collect()] == [1, 3]

@@ -50,14 +50,18 @@ def page_matches(stored: DataFrame, uploaded: DataFrame, least: float = 0.90, mo
     A shared tracker goes before an equal title, and that before alike structure (least or more of html's bits).
     shared lists the common trackers in order, empty for other matches. Of each rule an upload has its first most
     assets, by id or for structure by similarity and id, before rules are put together.
+
+    Whoever shares a tracker or a title with an upload and is among its first most, is among the first most that have
+    that tracker or title at all; these are chosen before uploads meet them, so common ones stay bounded.
     """
     ids = lambda df, own: df.select(own, F.explode(F.array_distinct(F.coalesce("trackers", F.array().cast("array<string>")))).alias("t")).filter("t <> ''")
     none = F.array().cast("array<string>")
     first = lambda df, *order: df.withColumn("n", F.row_number().over(W.partitionBy("upload").orderBy(*order))).filter(F.col("n") <= most).drop("n")
-    shared = ids(stored, "id").join(ids(uploaded, "upload"), "t").groupBy("upload", "id").agg(F.array_sort(F.collect_set("t")).alias("shared"))
+    least_of = lambda df, c: df.withColumn("n", F.row_number().over(W.partitionBy(c).orderBy("id"))).filter(F.col("n") <= most).drop("n")
+    shared = least_of(ids(stored, "id").distinct(), "t").join(ids(uploaded, "upload"), "t").groupBy("upload", "id").agg(F.array_sort(F.collect_set("t")).alias("shared"))
     by_tracker = first(shared, "id").select("upload", "id", F.lit(0).alias("rank"), F.lit("tracking_id").alias("via"), F.lit(1.0).alias("similarity"), "shared")
     named = lambda df, own: df.filter("title_hash IS NOT NULL").select(own, "title_hash")
-    by_title = first(named(stored, "id").join(named(uploaded, "upload"), "title_hash"), "id").select("upload", "id", F.lit(1).alias("rank"), F.lit("title").alias("via"), F.lit(1.0).alias("similarity"), none.alias("shared"))
+    by_title = first(least_of(named(stored, "id"), "title_hash").join(named(uploaded, "upload"), "title_hash"), "id").select("upload", "id", F.lit(1).alias("rank"), F.lit("title").alias("via"), F.lit(1.0).alias("similarity"), none.alias("shared"))
     pages = stored.select("id", F.lit(0).alias("rank"), F.lit("structure").alias("via"), F.col("html").alias("h")).filter("h IS NOT NULL")
     alike = nearest_pictures(pages, uploaded.select("upload", F.col("html").alias("g")), least, most)
     by_html = alike.select("upload", "id", F.lit(2).alias("rank"), "via", "similarity", none.alias("shared"))

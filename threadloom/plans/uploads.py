@@ -60,7 +60,8 @@ def nearest_pictures(spark: SparkSession, d: str) -> DataFrame:
 SELECT upload, id, arg_min(via, rank) AS via, CAST(arg_min(similarity, rank) AS DOUBLE) AS similarity, arg_min(shared, rank) AS shared FROM every GROUP BY upload, id""", False)
 def uploaded_pages(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    seen = driver.read(spark, d, "lineitem").filter("l_linenumber > 4").groupBy("l_suppkey").agg(F.collect_set(F.concat(F.lit("UA-"), F.col("l_partkey") % 3000)).alias("trackers"))
+    seen = driver.read(spark, d, "lineitem").filter("l_linenumber > 4").groupBy("l_suppkey").agg(F.collect_set((F.col("l_partkey") % 3000).cast("int")).alias("trackers"))
+    seen = seen.withColumn("trackers", F.transform("trackers", lambda t: F.concat(F.lit("UA-"), t)))
     html = (k % 9 * F.lit(123456789123456789)).bitwiseXOR((k % 16).cast("long"))
     stored = driver.read(spark, d, "supplier").join(seen, k == F.col("l_suppkey"), "left").select(k.alias("id"), "trackers", F.substring(F.md5(F.concat(F.lit("t"), k % 30)), 1, 8).alias("title_hash"), html.alias("html"))
     stored = materialise(stored, "stored_pages")
