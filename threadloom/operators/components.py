@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.spark import discard, materialise
 
+#: Edges that a task works on at once, and edges that it keeps at most before it hands them on.
+AT_ONCE, KEPT = 1 << 19, 1 << 20
+
 
 def _are_stars(e: DataFrame) -> bool:
     """No node of e(u, v) has two v, or is both a u and a v. One pre-aggregated pass."""
@@ -14,6 +21,45 @@ def _are_stars(e: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("t")).filter("c > 0 AND t > 1").isEmpty()
 
 
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Edges from each node of the batches (u, v) but one of each component to that one."""
+    both = pa.chunked_array([b.column(i) for i in (0, 1) for b in batches]).combine_chunks().dictionary_encode()
+    ends = both.indices.to_numpy()
+    u, v = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    root = np.arange(len(both.dictionary))
+    while len(u):
+        a, b = root[u], root[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
+    below = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(below)), both.dictionary.take(pa.array(root[below]))], names=["u", "v"])
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """u, v: edges with the components of edges(u, v), of which each task leaves at most one for each of its nodes.
+
+    What is shuffled next grows with the nodes and tasks in place of the edges. A task that meets more than KEPT nodes hands on what it has and begins anew, so its memory is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        new = 0
+        for batch in batches:
+            held.append(batch)
+            new += batch.num_rows
+            if new >= AT_ONCE:
+                held, new = [_stars(held)], 0
+                if held[0].num_rows > KEPT:
+                    yield held.pop()
+        if held:
+            yield _stars(held)
+
+    return edges.filter("u <> v").select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of edges(u, v), of any orderable type; loops and repeats do no harm.
 
