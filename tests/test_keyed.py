@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from threadloom.operators import components, graph
+from threadloom.operators import clusters, components, graph
 from threadloom.plans import more, queries
 from threadloom.sources import driver
 
@@ -35,7 +35,7 @@ def odd(tmp_path_factory, spark):
     return str(d), db
 
 
-@pytest.mark.parametrize("name", ["operations", "cluster_summary", "cluster_breakdown", "cluster_edges", "case_scope"])
+@pytest.mark.parametrize("name", ["operations", "cluster_summary", "cluster_breakdown", "cluster_edges", "case_scope", "rebuilt_clusters"])
 def test_as_its_sql_without_a_table_of_edges(spark, odd, monkeypatch, name):
     d, db = odd
     written = []
@@ -88,3 +88,9 @@ def test_forests(spark, monkeypatch, at_once, kept):
                 assert less.count() <= 3 * 601 < len(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_carried(spark):
+    rows = [(1, 10, "SHARES_FAVICON", 5), (1, 11, "SHARES_FAVICON", 5), (1, 10, "SHARES_LOGO", 5), (2, 12, "SHARES_FAVICON", 5), (1, 12, "USES_CERTIFICATE", 6), (1, 12, "USES_CERTIFICATE", 6), (1, 10, "SHARES_PIXEL", 7), (1, 11, "SHARES_PIXEL", 7)]
+    got = {(r.group, r.key): (set(r.features), r.degree) for r in clusters.carried(spark.createDataFrame(rows, "group long, key long, type string, target long")).collect()}
+    assert got == {(1, 10): ({"favicon", "pixel"}, 3), (1, 11): ({"favicon", "pixel"}, 2), (1, 12): (set(), 2), (2, 12): (set(), 1)}

@@ -64,13 +64,33 @@ def host_evidence(operations: DataFrame, assets: DataFrame, edges: DataFrame) ->
     return prints.unionByName(near.filter("is_host").select("root", "host", "feature")).distinct()
 
 
+def carried(prints: DataFrame) -> DataFrame:
+    """group, key, features, degree of prints(group, key, type, target), the fingerprint edges of the keys of clusters: the features of those targets that two keys of the group carry, and the number of edges.
+
+    A target is named by type and key. Each task sums a key up to a row before the shuffle, features as bits.
+    """
+    from pyspark.sql import Window as W
+
+    names = sorted(set(RELATION_FEATURES.values()))
+    bit = _lookup({r: 1 << names.index(f) for r, f in RELATION_FEATURES.items()}, F.col("type"))
+    of = W.partitionBy("group", "target", "type")
+    several = F.min("key").over(of) < F.max("key").over(of)
+    met = prints.withColumn("bit", F.when(several, bit).otherwise(0)).groupBy("group", "key").agg(F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("degree"))
+    features = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) > 0, f) for i, f in enumerate(names))))
+    return met.select("group", "key", features.alias("features"), "degree")
+
+
 def rebuilt(operations: DataFrame, assets: DataFrame, edges: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """root, members, confidence, name: the mean of the hosts' weights, 100 at most for each, and the value of the host with the most edges."""
+    return rated(operations, assets, degrees(edges), host_evidence(operations, assets, edges), scoring)
+
+
+def rated(operations: DataFrame, assets: DataFrame, degree: DataFrame, evidence: DataFrame, scoring: Scoring | None = None) -> DataFrame:
+    """What rebuilt() gives, from degree(id, degree) and evidence(root, host, feature)."""
     scoring = scoring or Scoring()
-    found = host_evidence(operations, assets, edges).groupBy("root", "host").agg(F.least(F.sum(_lookup(scoring.weights, F.col("feature"))), F.lit(100.0)).alias("score"))
+    found = evidence.groupBy("root", "host").agg(F.least(F.sum(_lookup(scoring.weights, F.col("feature"))), F.lit(100.0)).alias("score"))
     named = assets.select(F.col("id").alias("host"), "value")
-    degree = degrees(edges).withColumnRenamed("id", "host")
-    hosts = operations.select("root", "host").join(named, "host").join(degree, "host", "left").join(found, ["root", "host"], "left")
+    hosts = operations.select("root", "host").join(named, "host").join(degree.withColumnRenamed("id", "host"), "host", "left").join(found, ["root", "host"], "left")
     top = F.min_by("value", F.struct(-F.coalesce("degree", F.lit(0)), F.col("value")))
     out = hosts.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.bround(F.avg(F.coalesce("score", F.lit(0.0)))).cast("int").alias("confidence"), top.alias("top"))
     return out.select("root", "members", "confidence", F.concat(F.lit("Operation around "), "top").alias("name"))
