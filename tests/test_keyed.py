@@ -35,7 +35,7 @@ def odd(tmp_path_factory, spark):
     return str(d), db
 
 
-@pytest.mark.parametrize("name", ["operations", "cluster_summary", "cluster_breakdown", "cluster_edges", "case_scope", "rebuilt_clusters"])
+@pytest.mark.parametrize("name", ["operations", "cluster_summary", "cluster_breakdown", "cluster_edges", "case_scope", "rebuilt_clusters", "neighbour_sets"])
 def test_as_its_sql_without_a_table_of_edges(spark, odd, monkeypatch, name):
     d, db = odd
     written = []
