@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,14 @@ def _are_stars(e: DataFrame) -> bool:
 
 
 def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """Edges from each node of the batches (u, v) but one of each component to that one."""
+    """Edges from each node of the batches (u, v) to the least of its component, which is often the same in other tasks."""
     both = pa.chunked_array([b.column(i) for i in (0, 1) for b in batches]).combine_chunks().dictionary_encode()
-    ends = both.indices.to_numpy()
+    order = pc.array_sort_indices(both.dictionary)
+    root = np.arange(len(order))
+    place = np.empty_like(root)
+    place[order.to_numpy()] = root
+    ends, nodes = place[both.indices.to_numpy()], both.dictionary.take(order)
     u, v = ends[: len(ends) // 2], ends[len(ends) // 2 :]
-    root = np.arange(len(both.dictionary))
     while len(u):
         a, b = root[u], root[v]
         apart = a != b
@@ -35,7 +39,7 @@ def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         while ((up := root[root]) != root).any():
             root = up
     below = np.flatnonzero(root != np.arange(len(root)))
-    return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(below)), both.dictionary.take(pa.array(root[below]))], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(below)), nodes.take(pa.array(root[below]))], names=["u", "v"])
 
 
 def forests(edges: DataFrame) -> DataFrame:
